@@ -66,8 +66,7 @@ class BusinessCalendar:
 
     # ---- columns ----------------------------------------------------------------------
 
-    def _arrays(self) -> tuple[Column, Column]:
-        spark = SparkSession.active()
+    def _arrays(self, spark: SparkSession) -> tuple[Column, Column]:
         if spark not in self._frames:
             row = spark.createDataFrame(
                 pa.table({"marks": [self._marks], "bdays": [self._bdays]}),
@@ -77,8 +76,17 @@ class BusinessCalendar:
             self._frames[spark] = (row.select("marks").scalar(), row.select("bdays").scalar())
         return self._frames[spark]
 
+    def _item(self, array_number: int, index: Column) -> Column:
+        """Array item that fails when out of range, also in sessions without ANSI mode."""
+        spark = SparkSession.active()
+        array = self._arrays(spark)[array_number]
+        if spark.conf.get("spark.sql.ansi.enabled") == "true":
+            return array[index]
+        outside = F.raise_error(F.lit("date outside the business calendar"))
+        return F.when(index.isNotNull(), F.coalesce(F.get(array, index), outside))
+
     def _mark(self, day: Column | str) -> Column:
-        return _item(self._arrays()[0], F.datediff(column(day), F.lit(self.start)))
+        return self._item(0, F.datediff(column(day), F.lit(self.start)))
 
     def ordinal(self, day: Column | str) -> Column:
         """Number of business days of the calendar before the day."""
@@ -86,7 +94,7 @@ class BusinessCalendar:
 
     def business_day(self, ordinal: Column) -> Column:
         """The business day with this many business days of the calendar before it."""
-        return _item(self._arrays()[1], ordinal)
+        return self._item(1, ordinal)
 
     def roll(self, day: Column | str) -> Column:
         """The day itself if it is a business day, else the next one."""
@@ -112,11 +120,3 @@ class BusinessCalendar:
 
 def _half(mark: Column) -> Column:
     return F.shiftright(mark, 1)
-
-
-def _item(array: Column, index: Column) -> Column:
-    """Array item that fails when out of range, also in sessions without ANSI mode."""
-    if SparkSession.active().conf.get("spark.sql.ansi.enabled") == "true":
-        return array[index]
-    outside = F.raise_error(F.lit("date outside the business calendar"))
-    return F.when(index.isNotNull(), F.coalesce(F.get(array, index), outside))

@@ -79,8 +79,9 @@ def customer_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _pick(names: list[str], index: str):
-    return F.element_at(F.array(*map(F.lit, names)), F.expr(f"int({index}) + 1"))
+def _pick(names: list[str], index: str) -> str:
+    quoted = ", ".join(f"'{name}'" for name in names)
+    return f"element_at(array({quoted}), int({index}) + 1)"
 
 
 def raw_claims(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame:
@@ -90,23 +91,20 @@ def raw_claims(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame
     if dims:
         customers = customer_dims(spark, sf_dir)
         orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-    flags = {
-        "k": F.col("o_orderkey"),
-        "nigo": F.col("o_orderstatus") == "F",
-        "nurse": F.col("o_orderpriority").isin("1-URGENT", "2-HIGH"),
-        "approved": F.expr("(o_orderkey div 5) % 10 < 7"),
-    }
-    dated, day = {}, F.lit(ANCHOR_DATE).cast("date")
-    for milestone, step in _STEPS.items():
-        dated[milestone] = day = F.date_add(day, F.expr(f"int({step})"))
     named = {
         "claims_analyst": _pick([a for a, _ in ANALYST_PARAMETERS], "(k * 7 + k div 11) % 10"),
         "diagnosis": _pick([d[0] for d in DIAGNOSIS_PARAMETERS], "(k div 4) % 6"),
     }
-    computed = {n: F.expr(e) for n, e in (_RAW_COLUMNS | _INPUT_COLUMNS).items()}
-    columns = dated | named | computed
-    return orders.withColumns(flags).select(*(["geo", "industry"] if dims else []),
-                                            *(c.alias(name) for name, c in columns.items()))
+    dated, day = {}, f"date '{ANCHOR_DATE}'"
+    for milestone, step in _STEPS.items():
+        dated[milestone] = day = f"date_add({day}, int({step}))"
+    columns = dated | named | _RAW_COLUMNS | _INPUT_COLUMNS
+    kept = ["geo", "industry"] if dims else []
+    return orders.selectExpr(
+        "o_custkey", "o_orderkey as k", "o_orderstatus = 'F' as nigo",
+        "o_orderpriority in ('1-URGENT', '2-HIGH') as nurse",
+        "(o_orderkey div 5) % 10 < 7 as approved", *kept,
+    ).selectExpr(*kept, *(f"{formula} as {name}" for name, formula in columns.items()))
 
 
 def claims_raw_biz(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame:
