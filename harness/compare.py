@@ -31,7 +31,7 @@ def normal_types(table: pa.Table) -> pa.Table:
 def difference(result: DataFrame, connection: duckdb.DuckDBPyConnection, sql: str) -> str:
     """Empty if both have the same columns, types and rows, in any order."""
     ours = normal_types(result.toArrow())
-    theirs = normal_types(connection.execute(sql).to_arrow_table())
+    theirs = normal_types(connection.sql(sql).to_arrow_table())
     if ours.schema.names != theirs.schema.names or ours.schema.types != theirs.schema.types:
         return f"schema {ours.schema.to_string()} / {theirs.schema.to_string()}"
     if ours.num_rows != theirs.num_rows:
