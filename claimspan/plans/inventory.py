@@ -66,7 +66,7 @@ def _stage_counts(claims: DataFrame, day: dt.date, by: Sequence[str]) -> DataFra
     counts = (
         claims.where(may_be_open(F.lit(day)))
         .groupBy(*by)
-        .agg(*(F.count_if(inside).alias(stage) for stage, inside in stages.items()))
+        .agg(*(F.count(F.when(inside, 1)).alias(stage) for stage, inside in stages.items()))
     )
     return counts.unpivot(list(by), list(stages), "stage", "count").select("stage", *by, "count")
 

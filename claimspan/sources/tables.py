@@ -43,10 +43,10 @@ def write_stage(df: DataFrame, path: str, schema: StructType, key: str | None =
                 by_decided_month: bool = False) -> None:
     """Replace the stage table at ``path``.
 
-    With a key, duplicates are refused before anything is replaced. By decided month,
-    rows are range partitioned on (decision date, claim): each file covers a short date
-    range, so statistics prune it, and a busy date or month still spreads over many
-    tasks, because ranges also split between claims.
+    With a key, duplicates are refused before anything is replaced; that check computes
+    nothing but the key. By decided month, rows are rebalanced: at run time Spark splits a
+    busy month over as many tasks as its size asks for and lets quiet months share one.
+    Files are sorted by decision date, so that their statistics prune within a month.
     """
     stage = conform(df, schema)
     if key:
@@ -54,8 +54,8 @@ def write_stage(df: DataFrame, path: str, schema: StructType, key: str | None =
     if by_decided_month:
         clustered = (
             stage.withColumn(DECIDED_MONTH, F.trunc(_DECIDED, "month"))
-            .repartitionByRange(_DECIDED, "claim_num")
-            .sortWithinPartitions(_DECIDED)
+            .hint("rebalance", F.col(DECIDED_MONTH))
+            .sortWithinPartitions(DECIDED_MONTH, _DECIDED)
         )
         clustered.write.mode("overwrite").partitionBy(DECIDED_MONTH).parquet(path)
     else:
