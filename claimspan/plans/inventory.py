@@ -10,7 +10,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimspan.constants import MILESTONES
+from claimspan.constants import DEFAULT_TODAY, MILESTONES
 from claimspan.functions.dates import DateLike
 from claimspan.plans.arguments import DateRange, checked_columns, checked_date
 
@@ -71,13 +71,14 @@ def _stage_counts(claims: DataFrame, day: dt.date, by: Sequence[str]) -> DataFra
     return counts.unpivot(list(by), list(stages), "stage", "count").select("stage", *by, "count")
 
 
-def inventory(claims: DataFrame, day: DateLike, allowed: DateRange | None = None) -> DataFrame:
+def inventory(claims: DataFrame, day: DateLike = DEFAULT_TODAY,
+              allowed: DateRange | None = None) -> DataFrame:
     """Claims per stage on the day: always nine rows, in stage order."""
     # An aggregate without groups is one partition, so sorting that is enough.
     return _stage_counts(claims, checked_date(day, allowed), []).sortWithinPartitions("stage")
 
 
-def inventory_by(claims: DataFrame, day: DateLike, by: Sequence[str] = (),
+def inventory_by(claims: DataFrame, day: DateLike = DEFAULT_TODAY, by: Sequence[str] = (),
                  allowed: DateRange | None = None) -> DataFrame:
     """Claims per stage and group; pairs without a claim are absent."""
     if not by:

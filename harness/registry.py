@@ -258,7 +258,7 @@ def payout_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 def expected_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _planned(spark, sf_dir).select(
         "claim_num", "diagnosis", "actual_dur_touch_count",
-        F.col("plan_duration")[F.col("plan_made")].alias("expected_duration_days"))
+        F.col("__plan_duration")[F.col("__plan_made")].alias("expected_duration_days"))
 
 
 def touch_band(spark: SparkSession, sf_dir: str) -> DataFrame:

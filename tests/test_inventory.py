@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from claimspan.constants import DEFAULT_TODAY, DEMO_QUERY_DATES
 from claimspan.plans.inventory import inventory, inventory_by
 from conftest import CLAIM, SF, date
 from harness import derived
@@ -123,6 +124,7 @@ def test_no_columns_means_inventory(claims_of):
     claims = claims_of({})
     assert (inventory_by(claims, "2020-01-15").collect()
             == inventory(claims, "2020-01-15").collect())
+    assert inventory(claims).collect() == inventory(claims, DEFAULT_TODAY).collect()
 
 
 def test_arguments(claims_of):
@@ -132,4 +134,4 @@ def test_arguments(claims_of):
     with pytest.raises(ValueError):
         inventory(claims, "2020-02-30")
     with pytest.raises(ValueError, match="not between"):
-        inventory(claims, "2020-03-02", allowed=("2019-11-15", "2020-03-01"))
+        inventory(claims, "2020-03-02", allowed=DEMO_QUERY_DATES)
