@@ -12,7 +12,7 @@ from claimspan.sources.csv_inputs import analyst_parameters, diagnosis_parameter
 from claimspan.sources.tables import conform, read_stage, write_stage
 from conftest import SF
 from harness import derived
-from harness.registry import PERIOD, TODAY, shared_path
+from harness.registry import CLAIMS_QUERIES, PERIOD, QUERIES, TODAY, shared_path
 
 HOTSPOT_LIMIT = 8000
 
@@ -95,6 +95,13 @@ def test_aggregates_scan_once_and_aggregate_before_the_shuffle(spark, static_pla
     assert "HashAggregate" in below and "Expand" not in below
 
 
+@pytest.mark.parametrize("key", CLAIMS_QUERIES)
+def test_queries_on_a_stored_table_generate_code_that_hotspot_compiles(spark, static_plans,
+                                                                       claims_table, key):
+    sizes = method_sizes(spark, CLAIMS_QUERIES[key](claims_table))
+    assert sizes and max(sizes) < HOTSPOT_LIMIT
+
+
 def test_scan_reads_only_the_columns_it_needs(spark, static_plans, claims_table, calendar):
     df = counts.claims_decided(claims_table, "TAT_gt_n_in_period", TODAY, calendar,
                                months_before=2, biz_days_count=10)
@@ -119,6 +126,5 @@ def test_inventory_condition_reaches_the_scan(spark, static_plans, claims_table)
 
 
 def test_queries_without_customer_columns_do_not_read_customers(spark, static_plans):
-    from harness.registry import QUERIES
     plan = plan_of(QUERIES["inventory"](spark, SF))
     assert plan.count("FileScan") == 1 and "orders.parquet" in plan
