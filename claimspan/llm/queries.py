@@ -6,24 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from claimspan.llm import decontamination, simhash
+from claimspan.llm import (
+    decontamination, extraction, line_dedup, quality, sanitisation, simhash,
+)
 from claimspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"),
+                            table(spark, sf_dir, "labels"))
+    return judged.drop("text")
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(table(spark, sf_dir, "documents"),
                                   table(spark, sf_dir, "benchmark"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op8_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitisation.report(table(spark, sf_dir, "documents"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Query] = {
+    "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_sanitisation": op8_sanitisation,
     "op9_simhash": op9_simhash,
+    "op10_extraction": op10_extraction,
 }
 
 ORACLE: dict[str, str] = {}

@@ -38,7 +38,8 @@ from claimspan.llm.common import stored, with_columns
 SHINGLE = 3
 DISTANCE = 2
 SEED = 42
-#: Fingerprints that the routing tree is fitted on, and how many of them a shard should get.
+#: Fingerprints that the routing tree is fitted on (about so many, picked by hash), and how
+#: many of them a shard should get.
 SAMPLE = 32_768
 SAMPLE_PER_SHARD = 64
 #: Leaves inside a shard are compared pair by pair.
@@ -191,7 +192,9 @@ def forest(points: np.ndarray, link: int) -> tuple[np.ndarray, np.ndarray]:
 def links(prints: DataFrame, link: int = DISTANCE, sample: int = SAMPLE,
           per_shard: int = SAMPLE_PER_SHARD) -> DataFrame:
     """Edges (a, b) that connect all pairs of `simhash` within the link distance."""
-    picked = prints.orderBy(F.xxhash64("simhash")).limit(sample).toPandas()
+    share = min(1.0, sample / max(1, prints.count()))
+    picked = prints.where(F.pmod(F.xxhash64("simhash"), F.lit(1 << 40))
+                          < int(share * (1 << 40))).select("simhash").toPandas()
     tree = fit_tree(picked["simhash"].to_numpy(np.int64).view(np.uint64), link, per_shard)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

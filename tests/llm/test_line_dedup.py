@@ -1,0 +1,114 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from claimspan.llm import line_dedup as l
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def brute(docs, edits=2):
+    """{(doc, text): kept text}; all pairs of lines, in order."""
+    lines = []
+    for doc, text in set(docs):
+        for at, line in enumerate((text or "").split("\n")):
+            if len(line.strip(" ")) >= l.MIN_CHARS:
+                key = (doc if doc is not None else l.LAST, at)
+                lines.append((key, line.strip(" "), (doc, text), at))
+    lines.sort(key=lambda x: x[0])
+    gone, groups, by_length = set(), {}, {}
+    for key, line, row, at in lines:
+        near = [f for n in range(len(line) - edits, len(line) + edits + 1)
+                for f in by_length.get(n, ())
+                if f[0] < key and (f[1] == line or sum(
+                    x != y for x, y in zip(sorted(f[1]), sorted(line))) >= 0
+                    and distance(f[1], line) <= edits)]
+        if near:
+            gone.add((row, at))
+        by_length.setdefault(len(line), []).append((key, line))
+    return {row: row[1] if row[1] is None else "\n".join(
+        x for at, x in enumerate(row[1].split("\n")) if (row, at) not in gone)
+        for row in set(docs)}
+
+
+def result(df):
+    out = l.dedup_lines(df)
+    assert out.columns == df.columns
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+
+
+def expected(rows, edits=2):
+    kept = brute(rows, edits)
+    return sorted(((d, kept[d, t]) for d, t in rows), key=str)
+
+
+def test_edit_distance(spark):
+    rng = random.Random(5)
+    pairs = [("", ""), ("a", ""), ("", "abc"), ("kitten", "sitting"), ("éa😀b", "éab")]
+    for _ in range(300):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))
+        b = list(a)
+        for _ in range(rng.randint(0, 4)):
+            at = rng.randint(0, len(b))
+            b[at:at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "c"])
+        pairs.append((a, "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for edits in (1, 2, 3):
+        for r in df.withColumn("w", l.within(F.col("a"), F.col("b"), edits)).collect():
+            assert r.w == (distance(r.a, r.b) <= edits), (r, edits)
+
+
+@pytest.fixture(scope="module")
+def near_rows():
+    rng = random.Random(11)
+    rows, pool = [], ["".join(rng.choice("abcdef ") for _ in range(rng.randint(14, 40)))
+                      for _ in range(30)]
+    for doc in range(60):
+        lines = []
+        for _ in range(4):
+            line = list(rng.choice(pool))
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randint(0, len(line))
+                line[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "y"])
+            lines.append("".join(line))
+        rows.append((doc, "\n".join(lines)))
+    return rows
+
+
+def test_equals_brute_force(make, near_rows):
+    assert result(make(near_rows)) == expected(near_rows)
+
+
+def test_odd_rows(make):
+    line = "a line of some length, it is long enough"
+    rows = [(1, None), (2, ""), (3, "\n\n"), (4, line), (4, line), (5, f"{line}\n{line}\nshort"),
+            (6, "short\n" + line.replace("some", "same")), (None, line + "\nonly here, but null"),
+            (7, "  " + line.replace("some", "sxyme") + "  \r\nshort"), (8, "z" * 60_000),
+            (9, "z" * 59_999), (10, "z" * 30_000 + "yyy" + "z" * 29_998), (11, "x\n" * 5_000)]
+    assert result(make(rows)) == expected(rows)
+    assert result(make([])) == []
+    report = {r.doc_id: r for r in l.report(make(rows)).collect()}
+    assert report[5].n_lines == 2 and report[5].n_removed == 2
+
+
+def test_whole_table(documents):
+    small = documents.select("doc_id", F.expr("substring(text, 1, 100000)").alias("text"))
+    rows = [(r.doc_id, r.text) for r in small.collect()]
+    exact = {}
+    got = dict(result(small))
+    for doc, text in sorted(rows):
+        for line in text.split("\n"):
+            if len(line.strip(" ")) >= l.MIN_CHARS:
+                exact.setdefault(line.strip(" "), doc)
+    for doc, text in rows:  # first places stay, or a near line stood before
+        for line in got[doc].split("\n"):
+            if len(line.strip(" ")) >= l.MIN_CHARS:
+                assert exact[line.strip(" ")] == doc
