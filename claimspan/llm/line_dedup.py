@@ -21,13 +21,15 @@ share that exchange.
 Defined results: null and empty texts stay as they are, and so do lines that are blank. A
 document may end up empty, but stays. Documents with a null doc_id come last in order. Rows
 with equal doc_id and text are treated alike: one doesn't remove the other's lines. Ties in
-order can't occur. Extra columns pass through. What is left is joined by line feeds.
+order can't occur. Extra columns pass through. What is left is joined by line feeds. Lines are
+told apart, and rows joined, by hashes of 128 and 64 bits.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from claimspan.llm.common import stored
 
@@ -66,36 +68,43 @@ def exact_repeats(keyed: DataFrame) -> DataFrame:
         "__row", "doc_id", "__at")
 
 
-def segments(length: Column, number: int, edits: int) -> tuple[Column, Column]:
+def segments(length: Column, number: Column, edits: int) -> tuple[Column, Column]:
     """Begin (from 0) and size of a segment; the last ones take what is left over."""
     base = F.floor(length / (edits + 1)).cast("int")
-    longer = (length - base * (edits + 1)).cast("int")
+    longer = length - base * (edits + 1)
     from_ = edits + 1 - longer  # number of the first longer segment
-    begin = base * number + F.greatest(F.lit(number) - from_, F.lit(0))
-    return begin, base + (F.lit(number) >= from_).cast("int")
+    return (base * number + F.greatest(number - from_, F.lit(0)),
+            base + (number >= from_).cast("int"))
 
 
-def entries(line: Column, edits: int = EDITS) -> Column:
-    """Array of (key, probe): a line's index entries and its probes."""
-    size = F.length(line)
-    out = []
+def places(edits: int = EDITS) -> list[tuple[int, int, int, int]]:
+    """(segment, lengths below the line's own, shift, is a probe): what a line asks for.
+
+    A segment can stand no further off its place than the edits to its left, nor, seen from
+    the other end, than those to its right.
+    """
+    out = [(number, 0, 0, 0) for number in range(edits + 1)]
     for number in range(edits + 1):
-        begin, width = segments(size, number, edits)
-        out.append(F.struct(
-            F.xxhash64(size, F.lit(number), F.substring(line, begin + 1, width)).alias("key"),
-            F.lit(0).alias("probe")))
         for shorter in range(edits + 1):
-            length = size - shorter
-            begin, width = segments(length, number, edits)
             low = max(-number, shorter - (edits - number))
             high = min(number, shorter + (edits - number))
-            for shift in range(low, high + 1):
-                at = begin + shift
-                fits = (length >= MIN_CHARS) & (at >= 0) & (at + width <= size)
-                out.append(F.when(fits, F.struct(
-                    F.xxhash64(length, F.lit(number), F.substring(line, at + 1, width))
-                    .alias("key"), F.lit(1).alias("probe"))))
-    return F.array_compact(F.array(*out))
+            out += [(number, shorter, shift, 1) for shift in range(low, high + 1)]
+    return out
+
+
+def entries(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """lines with key and probe: a row for each index entry and each probe of `__line`."""
+    asked = F.array(*[F.struct(F.lit(n).alias("number"), F.lit(less).alias("less"),
+                               F.lit(shift).alias("shift"), F.lit(probe).alias("probe"))
+                      for n, less, shift, probe in places(edits)])
+    size = F.length("__line")
+    each = lines.withColumn("e", F.explode(asked)).withColumn(
+        "__length", size - F.col("e.less")).where(F.col("__length") >= MIN_CHARS)
+    begin, width = segments(F.col("__length"), F.col("e.number"), edits)
+    at = begin + F.col("e.shift")
+    return each.where((at >= 0) & (at + width <= size)).withColumn(
+        "key", F.xxhash64("__length", "e.number", F.substring("__line", at + 1, width))
+    ).withColumn("probe", F.col("e.probe"))
 
 
 def parity(line: Column) -> Column:
@@ -137,14 +146,13 @@ def within(a: Column, b: Column, edits: int = EDITS) -> Column:
         "shiftright", reached, diagonal).bitwiseAND(F.lit(1)) == 1).otherwise(False)
 
 
-def _gone(places: DataFrame, name: str) -> DataFrame:
-    return places.groupBy(F.col("__row").alias("__g_row"), F.col("doc_id").alias("__g_doc")).agg(
+def _gone(places_: DataFrame, name: str) -> DataFrame:
+    return places_.groupBy(F.col("__row").alias("__g_row")).agg(
         F.collect_set("__at").alias(name))
 
 
 def _joined(keyed: DataFrame, gone: DataFrame) -> DataFrame:
-    return keyed.join(gone, (F.col("__row") == F.col("__g_row"))
-                      & F.col("doc_id").eqNullSafe(F.col("__g_doc")), "left")
+    return keyed.join(gone, F.col("__row") == F.col("__g_row"), "left")
 
 
 def _stays(gone: str, at: Column) -> Column:
@@ -153,25 +161,25 @@ def _stays(gone: str, at: Column) -> Column:
 
 def near_repeats(keyed: DataFrame, exact: DataFrame, edits: int = EDITS) -> DataFrame:
     """__row, doc_id, __at of lines with an earlier near line; exact repeats are left out."""
-    joined = _joined(keyed, _gone(exact, "__gone"))
     # A test that is always true and names every column, so that this use of the documents
     # reads the same columns as the last one and shares its exchange.
     every = F.concat_ws("", *[F.hash(F.col(f"`{c}`")).cast("string") for c in keyed.columns],
                         F.size("__gone").cast("string"))
-    lines = _lines(joined.where(F.length(every) >= 0), "__gone").where(
-        _stays("__gone", F.col("__at")))
-    dealt = lines.select("__row", "__at", F.explode(entries(F.col("__line"), edits)).alias("e"))
-    dealt = dealt.select("e.key", "e.probe", "__row", "__at",
-                         F.xxhash64("__row", "__at").alias("__one")).repartition("key")
-    met = dealt.groupBy("key").agg(
-        F.min("probe").alias("lo"), F.max("probe").alias("hi"), F.min("__one").alias("a"),
-        F.max("__one").alias("b")).where("lo < hi and a < b").select("key")
-    shared = dealt.join(met.hint("shuffle_hash"), "key", "left_semi").select(
-        "key", "probe", "__row", "__at")
-    places = shared.groupBy("__row").agg(F.collect_set("__at").alias("__wanted")).select(
-        F.col("__row").alias("__w_row"), "__wanted")
-    wanted = _joined(keyed, _gone(exact, "__gone")).where(F.length(every) >= 0)
-    texts = _lines(wanted.join(places, F.col("__row") == F.col("__w_row")), "__wanted").where(
+    first = _joined(keyed, _gone(exact, "__gone")).where(F.length(every) >= 0)
+    lines = _lines(first, "__gone").where(_stays("__gone", F.col("__at")))
+    key = Window.partitionBy("key")
+    one = F.xxhash64("__row", "__at")
+    shared = (entries(lines, edits).select("key", "probe", "__row", "__at")
+              .withColumn("lo", F.min("probe").over(key))
+              .withColumn("hi", F.max("probe").over(key))
+              .withColumn("a", F.min(one).over(key)).withColumn("b", F.max(one).over(key))
+              .where("lo < hi and a < b").select("key", "probe", "__row", "__at")
+              .repartition("__row"))
+    # The least key is named for the same reason: both uses of `shared` read one exchange.
+    wanted = shared.groupBy(F.col("__row").alias("__w_row")).agg(
+        F.collect_set("__at").alias("__wanted"),
+        F.min(F.xxhash64("key", "probe")).alias("__least")).where("__least is not null")
+    texts = _lines(first.join(wanted, F.col("__row") == F.col("__w_row")), "__wanted").where(
         F.array_contains("__wanted", F.col("__at"))).select(
         F.col("__row").alias("t_row"), F.col("__at").alias("t_at"), "doc_id", "__line",
         _order().alias("__order"), parity(F.col("__line")).alias("__parity"))
