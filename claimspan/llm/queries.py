@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimspan.llm import (
-    decontamination, extraction, line_dedup, quality, sanitisation, simhash,
+    decontamination, extraction, line_dedup, mixing, quality, sanitisation, simhash,
+    substring_dedup,
 )
 from claimspan.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text"),
+                        table(spark, sf_dir, "labels")).drop("text")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"),
                             table(spark, sf_dir, "labels"))
@@ -42,6 +52,8 @@ def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_mixing": op2_mixing,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
     "op7_line_dedup": op7_line_dedup,

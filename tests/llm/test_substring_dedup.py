@@ -1,0 +1,108 @@
+import hashlib
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from claimspan.llm import substring_dedup as s
+
+
+def brute(docs, window=50):
+    first = {}
+    words = [(d, (t or "").encode().split()) for d, t in docs]
+    for d, w in words:
+        for i in range(len(w) - window + 1) if d is not None else ():
+            k = tuple(w[i:i + window])
+            first[k] = min(first.get(k, d), d)
+    out = []
+    for d, w in words:
+        gone = set()
+        for i in range(len(w) - window + 1) if d is not None else ():
+            if first[tuple(w[i:i + window])] < d:
+                gone |= set(range(i, i + window))
+        kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
+        out.append((d, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+def rows(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def test_equals_brute_force(documents):
+    docs = [(r.doc_id, r.text) for r in documents.collect()]
+    got = rows(s.report(documents))
+    assert got == brute(docs)
+    assert sum(r[2] for r in got) > 50
+
+
+@pytest.fixture(scope="module")
+def passages():
+    """Short windows of few words, cut from shared passages, with runs."""
+    rng = random.Random(4)
+    pool = [[rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(30)] for _ in range(4)]
+    pool.append(["x"] * 40)
+    docs = []
+    for d in range(80):
+        w = []
+        for _ in range(rng.randint(0, 4)):
+            p = rng.choice(pool)
+            a = rng.randint(0, len(p) - 5)
+            w += p[a:a + rng.randint(3, 25)] + [rng.choice("abcdefgh")] * rng.randint(0, 3)
+        docs.append((rng.randint(0, 60), " ".join(w)))
+    return docs
+
+
+def small(df, window, count):
+    return rows(s.dedup_substrings(df, window, count).selectExpr(
+        "doc_id", "n_words", "n_removed", "sha2(cast(kept as binary), 256)"))
+
+
+def test_small_windows(make, passages):
+    for window, count in ((6, 2), (12, 3)):
+        assert small(make(passages).repartition(3), window, count) == brute(passages, window)
+
+
+def test_odd_rows(make):
+    long = "word " * 30_000
+    docs = [(1, None), (2, ""), (3, "short"), (7, long), (7, long), (5, long + "end"),
+            (None, long), (9, "\x0b".join(map(str, range(60)))),
+            (8, "é " + " \t".join(map(str, range(60)))), (10, "a\xa0b " * 60)]
+    assert rows(s.report(make(docs))) == brute(docs)
+    assert s.report(make([])).collect() == []
+
+
+def test_equal_windows_have_equal_keys():
+    """Wherever a window stands, it is sent to the same shard."""
+    rng = np.random.default_rng(2)
+    for words in (3, 50, 100_000):
+        texts = [(" ".join(f"w{x}" for x in rng.integers(0, words, 400))) for _ in range(20)]
+        texts = [t + " " + texts[(i + 1) % 20][200:900] for i, t in enumerate(texts)]
+        name, place, start, at = [], [], [], 1
+        for t in texts:
+            w = [s.xxhash.xxh64_intdigest(x) for x in t.encode().split()]
+            name += w
+            place += range(at, at + len(w))
+            start += range(at, at + len(w) - 49)
+            at += len(w) + 1
+        name, place, start = np.array(name, np.uint64), np.array(place), np.array(start)
+        prints = s.Fingerprints(name, place)
+        own = prints.of(start, start + 50)
+        key, _ = s.anchors(s.rounds(name, place), start, prints, 50, own)
+        seen = {}
+        for k, o in zip(key.tolist(), own.tolist()):
+            assert seen.setdefault(o, k) == k
+        assert len(seen) < len(own)
+
+
+def test_a_key_may_span_batches():
+    prints = np.arange(6, dtype=np.uint64)
+    made = pa.RecordBatch.from_arrays(
+        [pa.array([1, 1, 1, 2]), pa.array([10, 11, 12, 13]), pa.array([1, 2, 3, 4]),
+         pa.array([0, 5, 0, 0], pa.int32()), pa.array([2, 7, 2, 2], pa.int32()),
+         pa.array([prints[a:a + 2].tobytes() for a in (0, 1, 0, 0)])], schema=s.SENT)
+    whole = [r for b in s.verify(iter([made])) for r in b.to_pylist()]
+    parts = [r for b in s.verify(made.slice(i, 1) for i in range(4)) for r in b.to_pylist()]
+    assert whole == parts
+    assert [(r["doc_id"], r["begin"], r["end"]) for r in whole] == [(2, 5, 6), (3, 0, 2)]
