@@ -178,12 +178,9 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: in
     """
     if window < 1 or slop < 0:
         raise ValueError("window must be positive and slop not negative")
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(block)
-              for block in test_blocks(benchmark, window, block_words)]
+    blocks = test_blocks(benchmark, window, block_words)
     if len(blocks) <= 1:
-        return with_columns(docs, text, RESULT, lambda texts: _search(
-            texts, [block.value for block in blocks], slop))
+        return with_columns(docs, text, RESULT, lambda texts: _search(texts, blocks, slop))
     # Each further block adds to what those before it have found.
     found = search_block(docs, text, blocks[0], slop)
     for block in blocks[1:]:
@@ -200,9 +197,8 @@ def search(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: in
 _NAMES = {field.name for field in RESULT}
 
 
-def search_block(docs: DataFrame, text: str, block, slop: int) -> DataFrame:
-    return with_columns(docs, text, RESULT,
-                        lambda texts: _search(texts, [block.value], slop))
+def search_block(docs: DataFrame, text: str, block: Block, slop: int) -> DataFrame:
+    return with_columns(docs, text, RESULT, lambda texts: _search(texts, [block], slop))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -199,11 +199,9 @@ def _regress(x: np.ndarray, y: np.ndarray, classes: int, steps: int = 300) -> np
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """docs with n_tokens and posteriors."""
-    held = docs.sparkSession.sparkContext.broadcast(classifier)
-
     def work(texts: list[bytes | None]) -> list[pa.Array]:
-        counts, x = matrix(texts, held.value.wanted)
-        p = held.value.posteriors(x)
+        counts, x = matrix(texts, classifier.wanted)
+        p = classifier.posteriors(x)
         offsets = np.arange(len(texts) + 1, dtype=np.int32) * p.shape[1]
         return [pa.array(counts), pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))]
 

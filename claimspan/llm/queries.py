@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimspan.llm import (
-    decontamination, extraction, line_dedup, mixing, quality, sanitisation, simhash,
-    substring_dedup,
+    decontamination, extraction, line_dedup, mixing, neighbours, quality, sanitisation, simhash,
+    substring_dedup, suffix_tree,
 )
 from claimspan.llm.common import table
 
@@ -24,6 +24,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         table(spark, sf_dir, "labels")).drop("text")
 
 
+def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score(table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judged(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"),
                             table(spark, sf_dir, "labels"))
@@ -35,6 +39,10 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   table(spark, sf_dir, "benchmark"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.report(table(spark, sf_dir, "embeddings"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -54,8 +62,10 @@ def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
+    "op3_suffix_tree": op3_suffix_tree,
     "op4_quality": op4_quality,
     "op5_decontamination": op5_decontamination,
+    "op6_neighbours": op6_neighbours,
     "op7_line_dedup": op7_line_dedup,
     "op8_sanitisation": op8_sanitisation,
     "op9_simhash": op9_simhash,
