@@ -39,6 +39,8 @@ from claimspan.llm.common import TEXT, slices
 
 WINDOW = 50
 ROUNDS = 3
+#: Texts are parsed in slices of so many bytes; a word takes some 200 bytes while it is.
+SLICE = 4 << 20
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _ODD = np.uint64(0xD6E8FEB86659FD93)
@@ -298,7 +300,7 @@ def repeats(keyed: DataFrame, window: int = WINDOW, count: int = ROUNDS) -> Data
     """row, doc_id, begin, end: ranges of first words of repeated windows."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 made = emit(part.column(2).to_pylist(), part.column(0).to_numpy(),
                             part.column(1).to_numpy(), window, count)
                 yield from made.to_batches(max_chunksize=65_536)
