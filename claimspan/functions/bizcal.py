@@ -12,7 +12,8 @@ is one or two array lookups inside generated code: no join, no shuffle and no UD
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, MutableMapping
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -22,8 +23,6 @@ from pyspark.sql.types import ArrayType, DateType, IntegerType, StructField, Str
 from claimspan.constants import US_HOLIDAYS
 from claimspan.functions.dates import DateLike, as_date, column
 
-MAX_CALENDAR_DAYS = 100 * 366
-
 
 class BusinessCalendar:
     """Monday to Friday without the holidays, between two dates.
@@ -35,8 +34,8 @@ class BusinessCalendar:
                  holidays: Iterable[DateLike] = US_HOLIDAYS):
         self.start, self.end = as_date(start), as_date(end)
         days = (self.end - self.start).days + 1
-        if not 0 < days <= MAX_CALENDAR_DAYS:
-            raise ValueError(f"a calendar spans 1 to {MAX_CALENDAR_DAYS} days, not {days}")
+        if days < 1:
+            raise ValueError(f"a calendar spans at least a day, not {days}")
         closed = {as_date(h) for h in holidays}
         self._marks: list[int] = []
         self._bdays: list[dt.date] = []
@@ -45,7 +44,8 @@ class BusinessCalendar:
             self._marks.append(2 * len(self._bdays) + is_open)
             if is_open:
                 self._bdays.append(day)
-        self._frames: dict[SparkSession, tuple[Column, Column]] = {}
+        # Stopped sessions are not kept alive.
+        self._frames: MutableMapping[SparkSession, tuple[Column, Column]] = WeakKeyDictionary()
 
     # ---- scalars, for query arguments -------------------------------------------------
 
@@ -77,7 +77,13 @@ class BusinessCalendar:
         return self._frames[spark]
 
     def _item(self, array_number: int, index: Column) -> Column:
-        """Array item that fails when out of range, also in sessions without ANSI mode."""
+        """Array item that fails when out of range, also in sessions without ANSI mode.
+
+        The mode that holds when the Column is made counts. Switching ANSI mode off between
+        that and running the query turns dates outside the calendar into nulls. The guarded
+        form would do in both modes, but the build's generated methods would then have over
+        17,000 bytes, twice what HotSpot compiles.
+        """
         spark = SparkSession.active()
         array = self._arrays(spark)[array_number]
         if spark.conf.get("spark.sql.ansi.enabled") == "true":

@@ -41,6 +41,15 @@ def _parts() -> list[Column]:
     return [aggregate().alias(f"__{name}") for name, aggregate in _TAT_PARTS.items()]
 
 
+def _exact(hours: str) -> Column:
+    """Hours as decimals, whose sums don't depend on the order of the claims."""
+    return F.col(hours).cast("decimal(18,6)")
+
+
+def _mean(hours: str) -> Column:
+    return F.round((F.sum(_exact(hours)) / F.count(hours)).cast("double"), 2)
+
+
 def _decided(claims: DataFrame, start: DateLike, end: DateLike,
              allowed: DateRange | None) -> DataFrame:
     return claims.where(decided_between(claims, *checked_period(start, end, allowed)))
@@ -109,8 +118,8 @@ def agg_gen(claims: DataFrame, start: DateLike, end: DateLike, by: Sequence[str]
         *_parts(),
         F.sum(_WAITING_DAYS).alias("total_nigo_follow_up_days"),
         F.count_if(F.col("igo_nigo") == "NIGO").alias("__nigo"),
-        F.sum("total_claims_analyst_hours").alias("total_analyst_hours"),
-        F.round(F.avg("total_claims_analyst_hours"), 2).alias("avg_analyst_hours"),
+        F.sum(_exact("total_claims_analyst_hours")).cast("double").alias("total_analyst_hours"),
+        _mean("total_claims_analyst_hours").alias("avg_analyst_hours"),
     )
     keyed = reduce(and_, (F.col(c).isNotNull() for c in columns), F.lit(True))
     nigo = F.when(keyed, F.col("__nigo")).otherwise(0)
@@ -145,6 +154,6 @@ def claims_agg_base(claims: DataFrame) -> DataFrame:
         F.count("*").alias("total_count"),
         F.sum("over_five_biz_days").alias("total_over_five_biz_days"),
         F.sum("over_ten_biz_days").alias("total_over_ten_biz_days"),
-        F.round(F.avg("total_hours"), 2).alias("avg_hours_per_claim"),
+        _mean("total_hours").alias("avg_hours_per_claim"),
         *(rounded_mean(values).alias(name) for name, values in means.items()),
     ).orderBy(*BASE_DIMENSIONS)

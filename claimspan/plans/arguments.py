@@ -58,4 +58,8 @@ def period_start(today: dt.date, calendar: BusinessCalendar,
         raise ValueError("give exactly one of biz_days_before and months_before")
     if months_before is not None:
         return date_months_before(today, checked_int("months_before", months_before))
-    return calendar.offset_date(today, 1 - checked_int("biz_days_before", biz_days_before))
+    count = checked_int("biz_days_before", biz_days_before)
+    if count - 1 > calendar.ordinal_of(today):
+        raise ValueError(f"biz_days_before {count} reaches before the calendar, which starts on "
+                         f"{calendar.start}; build a BusinessCalendar with an earlier start")
+    return calendar.offset_date(today, 1 - count)

@@ -16,7 +16,7 @@ from claimspan.functions.dates import DateLike
 from claimspan.plans.arguments import DateRange, checked_date, checked_int, period_start
 from claimspan.plans.inventory import stage_predicates
 from claimspan.schemas import TOUCHES
-from claimspan.sources.tables import decided_between
+from claimspan.sources.tables import closed_from, decided_between, decided_from
 
 
 def _count(claims: DataFrame, *conditions: Column) -> DataFrame:
@@ -63,7 +63,8 @@ def claims_received(claims: DataFrame, subfunction: str, today: DateLike,
     if subfunction not in ("this_year", "this_month"):
         raise _unknown(subfunction)
     start = _start_of(subfunction.removeprefix("this_"), end)
-    return _count(claims, F.col("received_date").between(F.lit(start), F.lit(end)))
+    return _count(claims, F.col("received_date").between(F.lit(start), F.lit(end)),
+                  closed_from(claims, start))
 
 
 def decision_inventory(claims: DataFrame, subfunction: str, today: DateLike,
@@ -71,15 +72,20 @@ def decision_inventory(claims: DataFrame, subfunction: str, today: DateLike,
                        allowed: DateRange | None = None) -> DataFrame:
     """Claims awaiting their final decision: ``total`` or ``pending_gt_n_days``."""
     day = checked_date(today, allowed)
-    waiting = (F.col("received_date") < F.lit(day)) & (F.lit(day) <= F.col("decided_2_date"))
+    waiting = [(F.col("received_date") < F.lit(day)) & (F.lit(day) <= F.col("decided_2_date")),
+               decided_from(claims, day)]
     if subfunction == "total":
-        return _count(claims, waiting)
+        return _count(claims, *waiting)
     if subfunction != "pending_gt_n_days":
         raise _unknown(subfunction)
     # More than n business days in [received, day) means received on or before this date.
     pending = calendar.ordinal_of(day) - checked_int("biz_days_count", biz_days_count)
+    if pending < 1:  # before the calendar, where no claim is
+        return _count(claims, F.lit(False))
+    if pending > calendar.ordinal_of(calendar.end):
+        return _count(claims, *waiting)
     latest = calendar.day_at(pending - 1)
-    return _count(claims, waiting, F.col("received_date") <= F.lit(latest))
+    return _count(claims, *waiting, F.col("received_date") <= F.lit(latest))
 
 
 def missed_touches(day: Column) -> Column:
@@ -95,13 +101,14 @@ def missed_touches(day: Column) -> Column:
 def payout_inventory(claims: DataFrame, subfunction: str, today: DateLike,
                      allowed: DateRange | None = None) -> DataFrame:
     """Claims being paid out: ``total`` or ``count_with_missed_touches``."""
-    day = F.lit(checked_date(today, allowed))
-    paying = stage_predicates(day)["7_paying_out"]
+    today = checked_date(today, allowed)
+    day = F.lit(today)
+    paying = [stage_predicates(day)["7_paying_out"], closed_from(claims, today)]
     if subfunction == "total":
-        return _count(claims, paying)
+        return _count(claims, *paying)
     if subfunction != "count_with_missed_touches":
         raise _unknown(subfunction)
-    return _count(claims, paying, missed_touches(day))
+    return _count(claims, *paying, missed_touches(day))
 
 
 def claims_returned_to_work(claims: DataFrame, subfunction: str, today: DateLike,
@@ -111,11 +118,12 @@ def claims_returned_to_work(claims: DataFrame, subfunction: str, today: DateLike
     """Returns to work in a period: ``total`` or ``duration_gt_x_percent`` above the least."""
     end = checked_date(today, allowed)
     start = period_start(end, calendar, months_before=months_before)
-    returned = F.col("return_to_work_date").between(F.lit(start), F.lit(end))
+    returned = [F.col("return_to_work_date").between(F.lit(start), F.lit(end)),
+                closed_from(claims, start)]
     if subfunction == "total":
-        return _count(claims, returned)
+        return _count(claims, *returned)
     if subfunction != "duration_gt_x_percent":
         raise _unknown(subfunction)
     allowed_percent = 100 + checked_int("percent", percent)
     longer = F.col("actual_duration_days") * 100 > F.col("min_duration_days") * allowed_percent
-    return _count(claims, returned, longer)
+    return _count(claims, *returned, longer)

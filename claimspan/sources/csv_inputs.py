@@ -16,8 +16,9 @@ def read_claims_export(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_parameters(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A parameter CSV with a header. Columns go by position, empty cells are null."""
-    return spark.read.csv(path, schema=schema, header=True)
+    """A parameter CSV; empty cells are null. The query fails if the header does not name the
+    schema's columns, in its order and in any case of letters."""
+    return spark.read.csv(path, schema=schema, header=True, enforceSchema=False)
 
 
 def analyst_parameters(spark: SparkSession) -> DataFrame:

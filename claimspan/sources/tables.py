@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
+from claimspan.constants import MILESTONES
 from claimspan.functions.dates import DateLike, as_date
 
 DECIDED_MONTH = "decided_month"
+CLOSED_MONTH = "closed_month"
 _DECIDED = "decided_2_date"
+_DATES = (*MILESTONES, "return_to_work_date")
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
@@ -43,34 +47,83 @@ def write_stage(df: DataFrame, path: str, schema: StructType, key: str | None =
                 by_decided_month: bool = False) -> None:
     """Replace the stage table at ``path``.
 
-    With a key, duplicates are refused before anything is replaced; that check computes
-    nothing but the key. By decided month, rows are rebalanced: at run time Spark splits a
-    busy month over as many tasks as its size asks for and lets quiet months share one.
-    Files are sorted by decision date, so that their statistics prune within a month.
+    Rows are written beside the old table, which is replaced when they are complete. With a
+    key, the stored key column is read back first, and duplicates are refused; a refused or
+    failed write leaves the old table as it was. By decided month, partitions are months of
+    the decision and, below, of the last date of a claim. Rows are rebalanced: at run time
+    Spark splits a busy month over as many tasks as its size asks for and lets quiet months
+    share one. Files are sorted by decision date, so that their statistics prune within a month.
     """
-    stage = conform(df, schema)
-    if key:
-        require_unique(stage, key)
-    if by_decided_month:
-        clustered = (
-            stage.withColumn(DECIDED_MONTH, F.trunc(_DECIDED, "month"))
-            .hint("rebalance", F.col(DECIDED_MONTH))
-            .sortWithinPartitions(DECIDED_MONTH, _DECIDED)
-        )
-        clustered.write.mode("overwrite").partitionBy(DECIDED_MONTH).parquet(path)
-    else:
-        stage.write.mode("overwrite").parquet(path)
+    stage, spark = conform(df, schema), df.sparkSession
+    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    try:
+        if by_decided_month:
+            months = {DECIDED_MONTH: F.trunc(_DECIDED, "month"),
+                      CLOSED_MONTH: F.trunc(F.greatest(*_DATES), "month")}
+            (stage.withColumns(months)
+             .hint("rebalance", *map(F.col, months))
+             .sortWithinPartitions(*months, _DECIDED)
+             .write.partitionBy(*months).parquet(fresh))
+        else:
+            stage.write.parquet(fresh)
+        if key:
+            require_unique(read_stage(spark, fresh, schema).select(key), key)
+        _switch(spark, fresh, path)
+    except BaseException:
+        _files(spark, fresh).delete(_hadoop_path(spark, fresh), True)
+        raise
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _hadoop_path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _switch(spark: SparkSession, fresh: str, path: str) -> None:
+    """Put a complete folder in the place of another, which goes last."""
+    files, old = _files(spark, path), f"{fresh}-replaced"
+    at = {name: _hadoop_path(spark, name) for name in (fresh, path, old)}
+    replaces = files.exists(at[path])
+    if replaces and not files.rename(at[path], at[old]):
+        raise OSError(f"cannot move {path} aside")
+    if not files.rename(at[fresh], at[path]):
+        if replaces:
+            files.rename(at[old], at[path])
+        raise OSError(f"cannot move {fresh} to {path}")
+    files.delete(at[old], True)
+    spark.catalog.refreshByPath(path)
 
 
 def read_stage(spark: SparkSession, path: str, schema: StructType,
                by_decided_month: bool = False, order_by: str | None = None) -> DataFrame:
-    """A stage table, in key order if asked for. The month column stays for pruning."""
+    """A stage table, in key order if asked for. The month columns stay for pruning."""
     if by_decided_month:
-        schema = StructType(schema.fields + [StructField(DECIDED_MONTH, DateType())])
+        schema = StructType(schema.fields + [StructField(name, DateType())
+                                             for name in (DECIDED_MONTH, CLOSED_MONTH)])
     stage = spark.read.schema(schema).parquet(path)
     return stage.orderBy(order_by) if order_by else stage
 
 
+def _from_month(df: DataFrame, column: str, day: DateLike) -> Column:
+    """Prunes partitions on a table by month, else holds for all."""
+    if column not in df.columns:
+        return F.lit(True)
+    return F.col(column) >= F.lit(as_date(day).replace(day=1))
+
+
+def decided_from(df: DataFrame, day: DateLike) -> Column:
+    """Holds for every claim with a decision date on or after the day."""
+    return _from_month(df, DECIDED_MONTH, day)
+
+
+def closed_from(df: DataFrame, day: DateLike) -> Column:
+    """Holds for every claim with any date on or after the day."""
+    return _from_month(df, CLOSED_MONTH, day)
+
+
 def decided_between(df: DataFrame, start: DateLike, end: DateLike) -> Column:
     """Closed range of the decision date; on a table by month it also prunes partitions."""
     start, end = as_date(start), as_date(end)

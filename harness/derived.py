@@ -61,19 +61,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a small file that Spark reads as one split. Never at scale:
-    an input with a split per core is left as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
-
-
 def customer_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Industry and geo of each customer; the small tables are joined first."""
+    """Industry and geo of each customer, null if unknown; small tables are joined first."""
     return (
         table(spark, sf_dir, "customer")
-        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+        .join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"),
+              "left")
         .select("c_custkey", F.col("c_mktsegment").alias("industry"),
                 F.col("r_name").alias("geo"))
     )
@@ -86,11 +80,12 @@ def _pick(names: list[str], index: str) -> str:
 
 def raw_claims(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame:
     """Raw claims before cleaning, with clean names. Without dims the customer join,
-    the one shuffle there is, is left out for queries that need neither of its columns."""
+    the one shuffle there is, is left out for queries that need neither of its columns.
+    Every order is a claim, with or without a known customer."""
     orders = table(spark, sf_dir, "orders")
     if dims:
         customers = customer_dims(spark, sf_dir)
-        orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        orders = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
     named = {
         "claims_analyst": _pick([a for a, _ in ANALYST_PARAMETERS], "(k * 7 + k div 11) % 10"),
         "diagnosis": _pick([d[0] for d in DIAGNOSIS_PARAMETERS], "(k div 4) % 6"),
@@ -108,7 +103,7 @@ def raw_claims(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame
 
 
 def claims_raw_biz(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame:
-    return reproject_dates(spread(fill_missing(raw_claims(spark, sf_dir, dims))), CALENDAR)
+    return reproject_dates(fill_missing(raw_claims(spark, sf_dir, dims)), CALENDAR)
 
 
 def claims_extended(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame:

@@ -12,8 +12,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from claimspan.constants import REPROJECTED_DATES
+from claimspan.constants import PERMITTED_COLUMNS, REPROJECTED_DATES
 from claimspan.functions import dates
 from claimspan.operators.cleaning import fill_missing, ingest_claims
 from claimspan.operators.decisioning import backdate_receipt, stage_durations
@@ -22,12 +23,13 @@ from claimspan.operators.payout import payout_dates, with_plan
 from claimspan.plans import aggregates, counts
 from claimspan.plans.inventory import inventory, inventory_by
 from claimspan.schemas import (
-    CLAIMS_EXTENDED, CLAIMS_WITH_DURATIONS, STAGE_DURATIONS, TOUCHES,
+    ANALYST_PARAMS, CLAIMS_EXTENDED, CLAIMS_WITH_DURATIONS, DIAGNOSIS_PARAMS, STAGE_DURATIONS,
+    TOUCHES,
 )
 from claimspan.sources.csv_inputs import (
-    analyst_parameters, diagnosis_parameters, read_claims_export,
+    analyst_parameters, diagnosis_parameters, read_claims_export, read_parameters,
 )
-from claimspan.sources.exports import export_csv, json_rows
+from claimspan.sources.exports import export_csv, export_json
 from claimspan.sources.tables import conform, duplicate_keys, read_stage, write_stage
 from harness import derived
 from harness.derived import CALENDAR
@@ -87,20 +89,25 @@ CLAIMS_QUERIES: dict[str, Callable[[DataFrame], DataFrame]] = {
     "inv_agg_by_analyst": lambda c: inventory_by(c, INVENTORY_DAY, ["claims_analyst"]),
     "inv_agg_by_diagnosis_igo":
         lambda c: inventory_by(c, INVENTORY_DAY, ["diagnosis", "igo_nigo"]),
+    "inv_agg_by_geo": lambda c: inventory_by(c, INVENTORY_DAY, ["geo"]),
     "agg_tat": lambda c: aggregates.agg_tat(c, *PERIOD),
     "agg_tat_by_analyst": lambda c: aggregates.agg_tat(c, *PERIOD, ["claims_analyst"]),
     "agg_tat_by_analyst_igo":
         lambda c: aggregates.agg_tat(c, *PERIOD, ["claims_analyst", "igo_nigo"]),
     "agg_tat_by_analyst_igo_nurse":
         lambda c: aggregates.agg_tat(c, *PERIOD, list(aggregates.DRILL_DOWN)),
+    "agg_tat_by_geo_industry":
+        lambda c: aggregates.agg_tat(c, *PERIOD, ["geo", "industry"]),
     "agg_tat_drilldown": lambda c: aggregates.agg_tat_drilldown(c, *PERIOD),
     "agg_gen": lambda c: aggregates.agg_gen(c, *PERIOD),
     "agg_gen_by_analyst_igo":
         lambda c: aggregates.agg_gen(c, *PERIOD, ["claims_analyst", "igo_nigo"]),
+    "agg_gen_by_all_columns": lambda c: aggregates.agg_gen(c, *PERIOD, PERMITTED_COLUMNS),
     "claims_agg_base": aggregates.claims_agg_base,
 }
 # These also read geo or industry.
-READS_CUSTOMER = {"claims_agg_base"}
+READS_CUSTOMER = {"agg_gen_by_all_columns", "agg_tat_by_geo_industry", "claims_agg_base",
+                  "inv_agg_by_geo"}
 
 
 def _over_claims(key: str) -> Query:
@@ -113,11 +120,18 @@ def _over_claims(key: str) -> Query:
 # ---- parameters and ingest --------------------------------------------------------------
 
 
+def _from_csv(params: DataFrame, schema: StructType) -> DataFrame:
+    """Parameters written as a CSV file and read back."""
+    path = shared_path(params.sparkSession, "parameters")
+    params.write.csv(path, header=True)
+    return read_parameters(params.sparkSession, path, schema)
+
+
 def param_analyst(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each analyst's parameter with the number of claims it applies to."""
     claims = derived.raw_claims(spark, sf_dir, dims=False)
     used = claims.groupBy("claims_analyst").agg(F.count("*").alias("__claims"))
-    params = analyst_parameters(spark)
+    params = _from_csv(analyst_parameters(spark), ANALYST_PARAMS)
     joined = params.join(used, F.col("analyst") == F.col("claims_analyst"), "left")
     return joined.select(*params.columns, F.coalesce("__claims", F.lit(0)).alias("claims"))
 
@@ -128,7 +142,7 @@ def param_diagnosis(spark: SparkSession, sf_dir: str) -> DataFrame:
     used = claims.groupBy("diagnosis").agg(
         F.count("*").alias("__claims"),
         F.count_if(F.col("decision") == "Approved").alias("__approved"))
-    params = diagnosis_parameters(spark)
+    params = _from_csv(diagnosis_parameters(spark), DIAGNOSIS_PARAMS)
     return params.join(used, "diagnosis", "left").select(
         *params.columns,
         F.coalesce("__claims", F.lit(0)).alias("claims"),
@@ -298,7 +312,10 @@ def export_csv_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_json_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return json_rows(_inventory_by_analyst(spark, sf_dir))
+    """Write a result as JSON, a row a line, and read the lines back."""
+    root = f"inv_agg_for__claims_analyst__as_of__{INVENTORY_DAY}"
+    path = export_json(_inventory_by_analyst(spark, sf_dir), shared_path(spark, "exports"), root)
+    return spark.read.text(path).withColumnRenamed("value", "json")
 
 
 QUERIES: dict[str, Query] = {

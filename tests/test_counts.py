@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from claimspan.constants import DEMO_TODAY_DATES, US_HOLIDAYS
+from claimspan.functions.bizcal import BusinessCalendar
 from claimspan.plans import counts
 from conftest import SF, date
 from harness import derived
@@ -114,3 +115,18 @@ def test_large_arguments_warn_but_work(claims_of, calendar):
     with warnings.catch_warnings():
         warnings.simplefilter("error")
         counts.claims_decided(claims, "total_in_period", TODAY, calendar, months_before=6)
+
+
+def test_bounds_outside_the_calendar(claims_of, calendar):
+    """A bound before the calendar means no claim; a period before it says what to do."""
+    claims = claims_of({"decided_2_date": date("2020-02-01")})
+    with pytest.warns(UserWarning):
+        far = counts.decision_inventory(claims, "pending_gt_n_days", "2020-01-21", calendar, 300)
+    assert far.head()[0] == 0
+    all_ = counts.decision_inventory(claims, "pending_gt_n_days", "2020-01-21", calendar, -2000)
+    assert all_.head()[0] == 1
+    with pytest.warns(UserWarning), pytest.raises(ValueError, match="earlier start"):
+        counts.claims_decided(claims, "total_in_period", "2020-01-21", calendar,
+                              biz_days_before=300)
+    longer = BusinessCalendar("1900-01-01", "2100-12-31")
+    assert longer.ordinal_of("2100-12-31") > 50_000

@@ -10,7 +10,7 @@ from claimspan.plans.inventory import inventory, inventory_by
 from claimspan.schemas import CLAIMS_WITH_DURATIONS
 from claimspan.sources.csv_inputs import analyst_parameters, diagnosis_parameters
 from claimspan.sources.tables import conform, read_stage, write_stage
-from conftest import SF
+from conftest import ROOT, SF
 from harness import derived
 from harness.registry import CLAIMS_QUERIES, PERIOD, QUERIES, TODAY, shared_path
 
@@ -128,3 +128,28 @@ def test_inventory_condition_reaches_the_scan(spark, static_plans, claims_table)
 def test_queries_without_customer_columns_do_not_read_customers(spark, static_plans):
     plan = plan_of(QUERIES["inventory"](spark, SF))
     assert plan.count("FileScan") == 1 and "orders.parquet" in plan
+
+
+# These write or collect something by what they are.
+NOT_LAZY = {"param_analyst", "param_diagnosis", "ingest_claims_raw", "stage_roundtrip",
+            "export_csv", "export_json"}
+
+
+def test_asking_for_a_query_runs_nothing(spark):
+    """Building plans starts no job but those that read a file's schema."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "building plans")
+    try:
+        for key, query in QUERIES.items():
+            if key not in NOT_LAZY:
+                query(spark, SF)
+        stages = [s for job in tracker.getJobIdsForGroup("lazy")
+                  for s in tracker.getJobInfo(job).stageIds]
+    finally:
+        spark.sparkContext._jsc.sc().clearJobGroup()
+    # A schema is read by one task in one stage; a query of ours has more of either.
+    assert all(tracker.getStageInfo(s) is None or tracker.getStageInfo(s).numTasks == 1
+               for s in stages)
+    text = "".join(p.read_text() for folder in ("claimspan", "harness")
+                   for p in (ROOT / folder).rglob("*.py") if "llm" not in p.parts)
+    assert ".rdd" not in text

@@ -5,9 +5,15 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from claimspan.plans.aggregates import agg_tat
+from claimspan.constants import MILESTONES
+from claimspan.plans.aggregates import agg_tat, claims_agg_base
 from claimspan.plans.inventory import inventory, inventory_by
-from claimspan.schemas import CLAIMS_EXTENDED, CLAIMS_RAW_BIZ, CLAIMS_WITH_DURATIONS
+from claimspan.schemas import (
+    ANALYST_PARAMS, CLAIMS_EXTENDED, CLAIMS_RAW_BIZ, CLAIMS_WITH_DURATIONS, DIAGNOSIS_PARAMS,
+)
+from claimspan.sources.csv_inputs import (
+    analyst_parameters, diagnosis_parameters, read_parameters,
+)
 from claimspan.sources.exports import (
     export_csv, export_json, export_name, grouped_root, json_rows,
 )
@@ -16,7 +22,7 @@ from claimspan.sources.tables import (
 )
 from conftest import SF
 from harness import derived
-from harness.registry import shared_path
+from harness.registry import CLAIMS_QUERIES, shared_path
 
 
 @pytest.fixture(scope="module")
@@ -82,6 +88,81 @@ def test_table_by_month_prunes_partitions(spark, by_month):
     assert len(read) >= 1
 
 
+AS_OF = {
+    "decided_month": ["decision_inventory_total", "decision_inventory_pending_gt_n"],
+    "closed_month": ["claims_received_this_year", "claims_received_this_month",
+                     "payout_inventory_total", "payout_inventory_missed_touches",
+                     "returned_to_work_total", "returned_to_work_duration_gt_pct", "inventory",
+                     "inv_agg_by_analyst", "inv_agg_by_diagnosis_igo"],
+}
+
+
+@pytest.mark.parametrize("month,key", [(m, key) for m, keys in AS_OF.items() for key in keys])
+def test_as_of_and_period_queries_prune_partitions(spark, claims, by_month, month, key):
+    df = CLAIMS_QUERIES[key](by_month)
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    assert f"{month}#" in re.search(r"PartitionFilters: \[(.*)\]", plan).group(1)
+    assert df.collect() == CLAIMS_QUERIES[key](claims).collect()
+
+
+def test_irregular_claims_on_a_table_by_month(spark, claims_of):
+    """Dates out of order, missing dates, no date at all: pruned and plain results agree."""
+    day = dt.date.fromisoformat
+    odd = claims_of(
+        {}, {"received_date": None}, {"decided_2_date": None}, {"return_to_work_date": None},
+        {"decided_1_date": day("2021-01-01")}, {"decided_2_date": day("2019-12-01")},
+        {"nurse_reviewed_date": day("2020-12-31"), "decided_2_date": None},
+        {name: None for name in (*MILESTONES, "return_to_work_date")})
+    path = shared_path(spark, "odd")
+    write_stage(odd, path, CLAIMS_WITH_DURATIONS, by_decided_month=True)
+    stored = read_stage(spark, path, CLAIMS_WITH_DURATIONS, by_decided_month=True)
+    assert stored.count() == 8
+    for when in ("2020-01-07", "2020-01-22", "2020-02-15", "2020-11-30", "2021-03-01"):
+        assert inventory(stored, when).collect() == inventory(odd, when).collect()
+
+
+def test_a_failed_or_refused_write_leaves_the_old_table(spark, claims):
+    path = shared_path(spark, "kept")
+    write_stage(claims.limit(5), path, CLAIMS_WITH_DURATIONS, key="claim_num")
+    broken = claims.withColumn("geo", F.raise_error(F.lit("no geo")).cast("string"))
+    with pytest.raises(Exception, match="no geo"):
+        write_stage(broken, path, CLAIMS_WITH_DURATIONS)
+    assert spark.read.parquet(path).count() == 5
+    again = read_stage(spark, path, CLAIMS_WITH_DURATIONS)
+    write_stage(again, path, CLAIMS_WITH_DURATIONS)  # a table may replace itself
+    assert read_stage(spark, path, CLAIMS_WITH_DURATIONS).count() == 5
+
+
+def test_orders_without_a_customer_are_claims(spark):
+    """Left out of no query; geo and industry are null."""
+    folder = shared_path(spark, "tables")
+    for name in ("orders", "nation", "region", "customer"):
+        table = spark.read.parquet(f"{SF}/{name}.parquet")
+        kept = table.where("c_custkey % 7 > 0") if name == "customer" else table
+        kept.coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    known = derived.raw_claims(spark, folder)
+    assert known.count() == derived.raw_claims(spark, folder, dims=False).count() == orders
+    assert known.where("geo is null and industry is null").count() > 0
+    base = claims_agg_base(derived.claims_with_durations(spark, folder)).collect()
+    assert sum(r.total_count for r in base) == 8 * orders
+    assert any(r.geo is None for r in base)
+
+
+def test_parameter_headers_are_checked(spark):
+    path = shared_path(spark, "parameters")
+    analyst_parameters(spark).withColumnRenamed("analyst", "ANALYST").coalesce(1).write.csv(
+        path, header=True)
+    read = read_parameters(spark, path, ANALYST_PARAMS)
+    assert sorted(read.collect()) == sorted(analyst_parameters(spark).collect())
+    swapped = shared_path(spark, "swapped")
+    diagnosis_parameters(spark).select(
+        "diagnosis", "max_duration_days", "min_duration_days",
+        *DIAGNOSIS_PARAMS.names[3:]).coalesce(1).write.csv(swapped, header=True)
+    with pytest.raises(Exception, match="(?i)header"):
+        read_parameters(spark, swapped, DIAGNOSIS_PARAMS).collect()
+
+
 def test_a_busy_month_spreads_over_tasks(spark, claims):
     busy = claims.withColumn("decided_2_date", F.lit("2020-02-03").cast("date")).repartition(16)
     path = shared_path(spark, "busy")
