@@ -72,4 +72,49 @@ QUERIES: dict[str, Query] = {
     "op10_extraction": op10_extraction,
 }
 
-ORACLE: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+_SUBSTRINGS = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+           FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS k
+            FROM d, unnest(range(1, len(w) - 48)) AS t(i)),
+first AS (SELECT k, min(doc_id) AS least FROM windows GROUP BY k),
+gone AS (SELECT DISTINCT doc_id, i + o AS p
+         FROM windows JOIN first USING (k), unnest(range(50)) AS t(o) WHERE least < doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS text
+         FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d)
+         ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(coalesce(text, '')) AS kept_sha256
+FROM d LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+_LEAKS = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}',
+             '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'),
+             '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n,
+                   array_to_string(list_slice(w, i, i + 9), ' ') AS k
+            FROM b, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS t(i) WHERE len(w) > 0),
+spans AS (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS k
+          FROM d, (SELECT DISTINCT n FROM windows) AS sizes,
+               unnest(range(1, len(w) - n + 2)) AS t(i)),
+found AS (SELECT doc_id, i, n, item_id FROM spans JOIN windows USING (n, k)),
+hits AS (SELECT doc_id, count(DISTINCT i + o) AS n_hit
+         FROM found, unnest(range(n)) AS t(o) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items,
+                 string_agg(item, ',' ORDER BY item) AS ids
+          FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found)
+          GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+#: The others train models, search approximately, or hash by functions that SQL lacks; they are
+#: tested against brute force, definitions and held-out labels in tests/llm.
+ORACLE: dict[str, str] = {
+    "op1_substring_dedup": _SUBSTRINGS,
+    "op5_decontamination": _LEAKS,
+}

@@ -53,8 +53,8 @@ def test_odd_rows(spark, make):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = d.report(make(docs), bench)
     assert rows(got) == brute(docs, [i for i in ITEMS if i[0] is not None])
-    near = {r.doc_id: r.n_near for r in got.collect()}
-    assert near[7] == 2 and near[10] == 0  # items 1 and 10: one word stands between
+    near = {r.doc_id: r.near_items for r in d.search(make(docs), bench).collect()}
+    assert near[7] == [1, 10] and near[10] == []  # one word stands between
 
 
 def test_blocks_do_not_change_the_result(spark, make):

@@ -1,0 +1,11 @@
+import pytest
+
+from claimspan.llm.queries import ORACLE, QUERIES
+from harness.compare import connect, difference
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("key", ORACLE)
+def test_query_equals_its_sql(spark, key):
+    assert not difference(QUERIES[key](spark, SF), connect(SF), ORACLE[key])
