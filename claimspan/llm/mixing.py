@@ -5,8 +5,9 @@
    logistic regression. It is fitted on at most TRAIN_DOCS labelled documents, picked by hash.
 2. It gives every document posteriors p over the domains. With n tokens and rate r, a
    document is expected to bring r * n * p[k] tokens of domain k.
-3. Rates minimise sum over k of (expected tokens of k - target of k)^2 / (tokens of k at rate
-   one), subject to r >= 0, by projected gradient steps from r = 1. A document's steps depend
+3. Rates minimise the sum over k of (expected tokens of k - target of k)^2, subject to r >= 0,
+   by projected gradient steps from r = 1, each domain's part scaled by its tokens in documents
+   that have a rate above zero. A document's steps depend
    on its posteriors and on one residual for each domain and step; so a step is one
    aggregation over all documents, and only the residuals travel.
 4. Rates above one repeat a document, rates below one keep some: copies = floor(rate + u),
@@ -37,7 +38,7 @@ from claimspan.llm.common import stored, with_columns
 TRAIN_DOCS = 20_000
 BUCKETS = 1 << 16
 FEATURES = 256
-STEPS = 30
+STEPS = 40
 TOLERANCE = 1e-3
 #: Share of the tokens by domain.
 TARGET = {"clean": 0.9, "low": 0.1, "toxic": 0.0}
@@ -225,30 +226,32 @@ def fit_rates(scored: DataFrame, target: np.ndarray, max_steps: int = STEPS,
     """Residual steps that lead to the rates. scored has n_tokens and posteriors."""
     domains = len(target)
 
-    def totals(steps: list[np.ndarray]) -> np.ndarray:
+    def totals(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Expected tokens by domain, and those at rate one of documents with a rate."""
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = np.zeros(domains)
+            held = np.zeros(2 * domains)
             for batch in batches:
                 if batch.num_rows:
                     p = _posteriors(batch.column(1), domains)
-                    held += (rates(p, steps) * batch.column(0).to_numpy()) @ p
+                    rate, n = rates(p, steps), batch.column(0).to_numpy()
+                    held += np.concatenate([(rate * n) @ p, ((rate > 0) * n) @ p])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.arange(domains)), pa.array(held)], names=["k", "v"])
+                [pa.array(np.arange(2 * domains)), pa.array(held)], names=["k", "v"])
 
         summed = scored.select("n_tokens", "posteriors").mapInArrow(
             run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()
-        out = np.zeros(domains)
+        out = np.zeros(2 * domains)
         for row in summed:
             out[row.k] = row.v
-        return out
+        return out[:domains], out[domains:]
 
-    mass = totals([])
+    mass, active = totals([])
     if not mass.sum():
         return []
     wanted, steps, now = target * mass.sum(), [], mass
     while len(steps) < max_steps and np.abs(now - wanted).max() > tolerance * mass.sum():
-        steps.append((now - wanted) / np.maximum(mass, 1e-12 * mass.sum()))
-        now = totals(steps)
+        steps.append((now - wanted) / np.maximum(active, 1e-6 * mass.sum()))
+        now, active = totals(steps)
     return steps
 
 

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from claimspan.llm import mixing as m
 
-SF = "/root/testdata/sf0.01"
+SF = "/root/testdata/sf0.1"
 
 
 def test_rates_meet_the_target(spark):
