@@ -11,8 +11,11 @@ parent (the context without its oldest byte):
 A state's next-symbol distribution is smoothed by that of its longest retained suffix, with
 as much weight as it has distinct next symbols; the root by a uniform one. A position is
 scored by its longest retained suffix. Above the bytes stand whole words: a word's count less
-a discount, over all words, smoothed by the tree with the weight that the discounts leave. The
-text's end is drawn before each word.
+a discount, over all words, smoothed by the tree with the weight that the discounts leave.
+The tree goes on over the word before: its symbol there is one of the FREQUENT most frequent
+words or else the class of all other words with its first two bytes (or the text's begin).
+Retained by the same test, such a state says how much likelier than at the root the next
+word's symbol is, smoothed likewise. The text's end is drawn before each word.
 
 The tree is learned from the counts of all distinct words of all training documents. A word's
 probability depends on the word alone, so each distinct word is scored once. Counts and
@@ -45,6 +48,8 @@ MIN_SHARE = 1e-6
 MIN_COUNT = 16
 BLOCK_BYTES = 16 << 20
 SYMBOLS = 257
+FREQUENT = 1_024
+CLASSES = 1 << 16
 #: Words are worked through in lots of so many.
 LOT = 100_000
 
@@ -100,6 +105,131 @@ class Tree:
         return np.concatenate(out)
 
 
+    def prefixes(self) -> np.ndarray:
+        """Probability of each class: of its first byte, times that of its second."""
+        byte = np.arange(256)
+        out = np.zeros((256, 256))
+        first = self._next(np.full(256, 32), 1, byte)
+        for b in byte:
+            out[b] = first[b] * self._next(np.full(256, (32 << 8) | b), 2, byte)
+        return out.ravel()
+
+    def _next(self, history: np.ndarray, depth: int, symbol: np.ndarray) -> np.ndarray:
+        p = np.full(len(symbol), 1 / SYMBOLS)
+        for length, (names, totals, kinds) in enumerate(self.contexts[:depth + 1]):
+            context = history & ((1 << (8 * length)) - 1)
+            known, where = _find(names, context)
+            seen, at = _find(self.grams[length][0], (context << 8) | symbol)
+            n = np.where(seen, self.grams[length][1][at], 0) if seen.any() else 0
+            if known.any():
+                p = np.where(known, (n + kinds[where] * p) / (totals[where] + kinds[where]), p)
+        return p
+
+
+@dataclass
+class Before:
+    """What the word before says. share: probability of each symbol at the root; retained
+    contexts with totals and distinct next symbols; (context, symbol) pairs with counts."""
+
+    number: dict[bytes, int]
+    share: np.ndarray
+    contexts: tuple[np.ndarray, np.ndarray, np.ndarray]
+    pairs: tuple[np.ndarray, np.ndarray]
+
+    def log10(self, before: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """How much likelier each symbol is after the one before it."""
+        known, where = _find(self.contexts[0], before)
+        seen, at = _find(self.pairs[0], before * SPAN + symbol)
+        n = np.where(seen, self.pairs[1][at], 0) if seen.any() else np.zeros(len(symbol))
+        out = np.zeros(len(symbol))
+        if known.any():
+            total, kinds = self.contexts[1][where], self.contexts[2][where]
+            ratio = (n / self.share[symbol] + kinds) / (total + kinds)
+            out[known] = np.log10(ratio[known])
+        return out
+
+
+BEGIN = FREQUENT + CLASSES
+SPAN = 1 << 20
+
+
+def symbol_of(word: bytes, number: dict[bytes, int]) -> int:
+    at = number.get(word)
+    if at is not None:
+        return at
+    return FREQUENT + 256 * word[0] + (word[1] if len(word) > 1 else 32)
+
+
+def _after(texts: list[np.ndarray]) -> np.ndarray:
+    """The symbol before each one, text by text."""
+    return np.concatenate([np.zeros(0, np.int64), *[
+        np.concatenate(([BEGIN], text[:-1])) for text in texts if len(text)]])
+
+
+def fit_before(roles: DataFrame, words: DataFrame, tree: Tree, off: float, spoken: int,
+               rest: float, min_count: int) -> Before:
+    # Stored first: else every task's best would go to the driver, not to another task.
+    top = stored(words.where("n > 0").orderBy(F.desc("n"), "word").limit(FREQUENT),
+                 "suffix_frequent").toPandas().sort_values(["n", "word"], ascending=[False, True])
+    listed = [bytes(word) for word in top["word"]]
+    number = {word: i for i, word in enumerate(listed)}
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        symbols: dict[bytes, int] = {}
+        for batch in batches:
+            texts = []
+            for text in batch.column(0).to_pylist():
+                found = _tokens(text)
+                for word in found:
+                    if word not in symbols:
+                        symbols[word] = symbol_of(word, number)
+                texts.append(np.fromiter(map(symbols.__getitem__, found), np.int64, len(found)))
+                if len(symbols) > 1_000_000:
+                    symbols.clear()
+            keys, many = np.unique(_after(texts) * SPAN + np.concatenate(
+                [np.zeros(0, np.int64), *texts]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(many)],
+                                             names=["pair", "n"])
+
+    pairs = stored(roles.where(~F.col("held_out")).select("text").mapInArrow(
+        count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).select(
+        "pair", F.shiftright("pair", 20).alias("before"),
+        F.col("pair").bitwiseAND(F.lit(SPAN - 1)).alias("symbol"), "n"), "suffix_pairs")
+    every = pairs.agg(F.sum("n")).first()[0] or 0
+    roots = pairs.groupBy("symbol").agg((F.sum("n") / F.lit(max(every, 1))).alias("root"))
+    totals = pairs.groupBy("before").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("root")))
+    kept = stored(pairs.join(totals.where(F.col("total") >= min_count), "before")
+                  .join(roots, "symbol").groupBy("before", "total", "kinds")
+                  .agg(gain.alias("gain"))
+                  .where(F.col("gain") >= 0.5 * F.col("kinds") * F.log("total")),
+                  "suffix_before")
+    c = kept.toPandas().sort_values("before")
+    p = pairs.join(kept, "before", "left_semi").select("pair", "n").toPandas().sort_values(
+        "pair")
+    # Probability of each symbol at the root: a frequent word's own, a class's without those
+    # of its words that are frequent.
+    share = np.zeros(BEGIN)
+    share[FREQUENT:] = rest * tree.prefixes()
+    own = rest * 10 ** tree.log10(listed) if listed else np.zeros(0)
+    share[:len(listed)] = np.maximum(top["n"].to_numpy(np.float64) - off, 0) / spoken + own
+    np.subtract.at(share, [symbol_of(word, {}) for word in listed], own)
+    rare = words.where("n > 0").join(top_words(words, listed), "word", "left_anti").groupBy(
+        F.expr(f"{FREQUENT} + 256 * ascii(decode(substring(word, 1, 1), 'ISO-8859-1')) + "
+               "if(octet_length(word) > 1, ascii(decode(substring(word, 2, 1), "
+               "'ISO-8859-1')), 32)").alias("symbol")).agg(
+        F.sum(F.greatest(F.col("n") - off, F.lit(0.0))).alias("n")).toPandas()
+    np.add.at(share, rare["symbol"].to_numpy(np.int64), rare["n"].to_numpy() / spoken)
+    share = np.maximum(share, 1e-300)
+    return Before(number, share, tuple(c[n].to_numpy(np.int64) for n in (
+        "before", "total", "kinds")), tuple(p[n].to_numpy(np.int64) for n in ("pair", "n")))
+
+
+def top_words(words: DataFrame, listed: list[bytes]) -> DataFrame:
+    return words.sparkSession.createDataFrame(
+        pa.table({"word": pa.array(listed, pa.binary())}), "word binary")
+
+
 def _find(names: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(names):
         return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
@@ -213,6 +343,7 @@ def score(docs: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE,
     tree = fit(words.where("n > 0"), depth, min_share, min_count)
     off = said[2] / (said[2] + 2 * said[3]) if said[2] and said[3] else 0.5
     spoken, rest = max(1, tokens - ends), off * (said[1] or 0) / max(1, tokens - ends)
+    before = fit_before(roles, words, tree, off, spoken, rest, min_count) if rest else None
     base_of = lambda n: np.log10((n + 1) / (tokens + kinds + 1))
     end_base = float(base_of(np.float64(ends)))
     p_end = (ends + 1) / (tokens + 2)
@@ -250,6 +381,10 @@ def score(docs: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE,
         flat = np.fromiter(map(number.__getitem__, itertools.chain.from_iterable(texts)),
                            np.int64, int(counts.sum()))
         stops = np.concatenate(([0], np.cumsum(counts)))
+        gains = np.zeros(len(flat))
+        if before is not None and len(flat):
+            symbol = np.array([symbol_of(word, before.number) for word in number], np.int64)[flat]
+            gains = before.log10(_after([symbol[a:b] for a, b in zip(stops, stops[1:])]), symbol)
 
         def sums(values: np.ndarray) -> np.ndarray:
             # Text by text, so that a sum does not depend on the texts beside it.
@@ -261,7 +396,8 @@ def score(docs: DataFrame, depth: int = DEPTH, min_share: float = MIN_SHARE,
             "n_known": pa.array(sums(n > 0).astype(np.int64) + (ends > 0)),
             "train_tokens": pa.array(np.full(len(texts), tokens, np.int64)),
             "base_score": pa.array(sums(base_of(n)).astype(np.float64) + end_base),
-            "score": pa.array(sums(own).astype(np.float64) + counts * more + end)})
+            "score": pa.array(sums(own).astype(np.float64) + counts * more + end + np.array(
+                [gains[a:b].sum() for a, b in zip(stops, stops[1:])]))})
 
     return dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
         add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, "

@@ -56,11 +56,54 @@ def brute(docs, depth, min_share, min_count):
                 math.log10(rest / train.total()) + spelled)
         return math.log10((own + rest * 10 ** spelled) / train.total())
 
+    ranked = sorted(train, key=lambda w: (-train[w], w))[:t.FREQUENT]
+    number = {w: i for i, w in enumerate(ranked)}
+    symbol = lambda w: t.symbol_of(w, number)
+    after = defaultdict(Counter)
+    for _, held, ws in split:
+        if not held:
+            for a, b in zip([t.BEGIN, *map(symbol, ws)], map(symbol, ws)):
+                after[a][b] += 1
+    root = sum(after.values(), Counter())
+    told = set()
+    for a, seen in after.items():
+        n = seen.total()
+        gain = sum(c * math.log(c / n / (root[b] / root.total())) for b, c in seen.items())
+        if n >= min_count and gain >= 0.5 * len(seen) * math.log(n):
+            told.add(a)
+    tree = lambda line, upto: math.prod(
+        p(line[max(0, i - depth):i], line[i]) for i in range(1, upto))
+    shares = {}
+
+    def share(s):
+        if s not in shares:
+            n, rest = train.total(), off * len(train) / train.total()
+            if s < t.FREQUENT:
+                word = ranked[s]
+                own = max(train[word] - off, 0) / n
+                shares[s] = own + rest * tree(b" " + word + b" ", len(word) + 2)
+            else:
+                first, second = divmod(s - t.FREQUENT, 256)
+                mine = [w for w in train if t.symbol_of(w, {}) == s]
+                shares[s] = sum(max(train[w] - off, 0) for w in mine if w not in number) / n
+                shares[s] += rest * (tree(b" " + bytes([first, second]), 3) - sum(
+                    tree(b" " + w + b" ", len(w) + 2) for w in mine if w in number))
+        return shares[s]
+
+    def gains(ws):
+        total = 0.0
+        for a, b in zip([t.BEGIN, *map(symbol, ws)], map(symbol, ws)):
+            if a in told:
+                kinds = len(after[a])
+                total += math.log10((after[a][b] / share(b) + kinds)
+                                    / (after[a].total() + kinds))
+        return total
+
     p_end = (ends + 1) / (total + 2)
     base = lambda c: math.log10((c + 1) / (total + kinds + 1))
     for d, held, ws in split:
         own = math.log10(p_end) + len(ws) * math.log10(1 - p_end)
-        own += sum(of(word) for word in ws)
+        own += sum(of(word) for word in ws) + (gains(ws) if train else 0)
         out[d] = (held, len(ws) + 1, sum(w in train for w in ws) + (ends > 0), total,
                   sum(base(train[w]) for w in ws) + base(ends), own)
     return out
