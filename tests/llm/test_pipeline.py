@@ -1,0 +1,30 @@
+from pyspark.sql import functions as F
+
+import corpus_pipeline as cp
+from claimspan.llm import decontamination, simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_every_stage_on_what_the_last_one_kept(spark, documents):
+    docs, columns = documents, documents.columns
+    kept = {}
+    for number, (name, stage) in enumerate(cp.STAGES):
+        before = {r.doc_id for r in docs.select("doc_id").collect()}
+        docs = cp.stored(stage(spark, docs, SF), "stage")
+        kept[name] = {r.doc_id for r in docs.select("doc_id").collect()}
+        assert kept[name] <= before
+        assert docs.columns[:len(columns)] == columns
+        if number < len(cp.STAGES) - 1:
+            assert docs.columns == columns
+        if name == "line dedup":
+            assert kept[name] == before
+            assert docs.where(F.length("text") != F.col("n_chars")).isEmpty()
+        if name == "SimHash near-dedup":
+            groups = simhash.near_duplicates(docs).collect()
+            assert len({r.component_id for r in groups}) == len(groups)
+        if name == "benchmark decontamination":
+            bench = cp.table(spark, SF, "benchmark")
+            assert decontamination.report(docs, bench).where("contaminated").isEmpty()
+    assert docs.where("copies < 1").isEmpty() and docs.count() > 0
+    assert sorted(docs.columns[len(columns):]) == ["copies", "rate"]
