@@ -260,8 +260,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, link: int = DISTANC
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs with the one of least doc_id of each group; of repeated rows the first in text
-    order. Documents without an id have no group of their own: all stay.
+    """docs with the one of least doc_id of each group; of several rows with that doc_id one
+    stays. Documents without an id are in no group's choice: all stay.
     """
     groups = near_duplicates(docs)
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
