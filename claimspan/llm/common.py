@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 #: Texts are worked through in slices of about so many bytes, so that a batch of very long
 #: texts does not ask for several times its size at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 #: Name that carries a text, as bytes, into a task.
 TEXT = "__text_bytes"
