@@ -151,13 +151,19 @@ def search_block(ids: np.ndarray, x: np.ndarray, y: np.ndarray, queries: pd.Data
         order = np.argsort(far, kind="stable")
         best_score, best_id = np.zeros(0), np.zeros(0, np.int64)
         length = math.sqrt((q * q).sum())
-        for begin in range(0, len(order), 4):
-            some = order[begin:begin + 4]
-            if far[some[0]] > stop * bound:
-                break
-            rows = np.concatenate([parts[i] for i in some if far[i] <= stop * bound])
+        begin, count = 0, 4
+        while begin < len(order) and far[order[begin]] <= stop * bound:
+            some = order[begin:begin + count]
+            begin, count = begin + count, 4 * count
+            rows = np.concatenate([parts[i] for i in some[far[some] <= stop * bound]])
             rows = rows[((y[rows] - p) ** 2).sum(axis=1) <= stop * bound]
             rows = rows[ids[rows] != query]
+            # A matrix product sorts out what can't be among the best; the rest is summed row
+            # by row, which gives equal vectors equal scores.
+            rough = x[rows] @ q
+            if len(best_id) == k or len(rows) > k:
+                least = best_score[-1] if len(best_id) == k else np.partition(rough, -k)[-k]
+                rows = rows[rough >= least - 1e-9 * (abs(least) + longest * length)]
             best_score = np.concatenate([best_score, (x[rows] * q).sum(axis=1)])
             best_id = np.concatenate([best_id, ids[rows]])
             top = np.lexsort((best_id, -best_score))[:k]
@@ -166,10 +172,10 @@ def search_block(ids: np.ndarray, x: np.ndarray, y: np.ndarray, queries: pd.Data
                 # Squared distance of the k-th best, to the scaled query.
                 worst = 2 * longest ** 2 - 2 * longest * best_score[-1] / length
                 bound = min(bound, max(worst, 0.0) * (1 + 1e-9) + 1e-12)
-        out.append(pd.DataFrame({"query_id": query, "vec_id": best_id, "score": best_score}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame(
-        {"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"),
-         "score": pd.Series(dtype="float64")})
+        out.append((np.full(len(best_id), query), best_id, best_score))
+    joined = [np.concatenate(x) for x in zip(*out)] if out else [
+        np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+    return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), joined)))
 
 
 # ---- the operator ---------------------------------------------------------------------------
