@@ -46,7 +46,7 @@ from claimspan.llm.common import stored
 DEPTH = 5
 MIN_SHARE = 1e-6
 MIN_COUNT = 16
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 SYMBOLS = 257
 FREQUENT = 1_024
 CLASSES = 1 << 16
