@@ -4,11 +4,12 @@ Base spans are found by pattern and checked (address parts, card checksum, digit
 Their values are the protected entities. For each term that stands within CONTEXT code
 points of an entity, corpus counts tell how strongly the term reveals it:
 
-    P(entity | term) = documents with both, close together / documents with the term
+    P(entity | term) = (documents with both, close together + PRIOR)
+                       / (documents with the term + 2 * PRIOR)
     bits             = log2(P(entity | term) / P(entity))
 
-A term is disclosing if it was seen with the entity in at least MIN_TOGETHER documents and
-both figures reach their thresholds. Its occurrences in documents with the entity become
+A term is disclosing if both figures reach their thresholds. However few documents there are,
+they are judged; PRIOR holds back what one or two can tell. Its occurrences in documents with the entity become
 spans of kind `term`: removed from MIN_REMOVE on, generalised below. Base spans stay as they
 are; a term inside one is not told again.
 
@@ -46,7 +47,7 @@ KINDS = [*PATTERNS, "term"]
 TERM = r"\p{L}{3,}+"
 
 CONTEXT = 100
-MIN_TOGETHER = 3
+PRIOR = 0.5
 MIN_SHARE = 0.5
 MIN_REMOVE = 0.9
 MIN_BITS = 6.0
@@ -123,8 +124,7 @@ def _words(text: Column) -> Column:
 
 
 def disclosing_terms(docs: DataFrame, spans: DataFrame, context: int = CONTEXT,
-                     min_together: int = MIN_TOGETHER, min_share: float = MIN_SHARE,
-                     min_bits: float = MIN_BITS) -> DataFrame:
+                     min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
     """entity, term, share (P(entity | term)) and bits of the terms over the thresholds."""
     copies = _texts(docs).select(*KEY).join(
         spans.select(*[F.col(k).alias(f"s_{k}") for k in KEY]).distinct(),
@@ -133,18 +133,16 @@ def disclosing_terms(docs: DataFrame, spans: DataFrame, context: int = CONTEXT,
     weight = copies.groupBy(*KEY).agg(F.count("*").alias("copies"))
     entities = (spans.select(*KEY, _entity(spans).alias("entity")).distinct()
                 .join(_null_safe(weight), _same_key("w_")))
-    known = entities.groupBy("entity").agg(F.sum("copies").alias("entity_docs")).where(
-        F.col("entity_docs") >= min_together)
+    known = entities.groupBy("entity").agg(F.sum("copies").alias("entity_docs"))
     near = spans.select(*KEY, _entity(spans).alias("entity"), "before", "after")
     together = (near.select(*KEY, "entity", F.explode(_words(
         F.concat_ws(" ", "before", "after"))).alias("term")).distinct()
         .join(_null_safe(weight), _same_key("w_"))
-        .groupBy("entity", "term").agg(F.sum("copies").alias("together"))
-        .where(F.col("together") >= min_together))
+        .groupBy("entity", "term").agg(F.sum("copies").alias("together")))
     terms = (docs.select(F.explode(_words(F.col("text"))).alias("term"))
              .groupBy("term").agg(F.count("*").alias("term_docs")))
     total = docs.agg(F.count("*").alias("docs"))
-    share = F.col("together") / F.greatest("term_docs", "together")
+    share = (F.col("together") + PRIOR) / (F.greatest("term_docs", "together") + 2 * PRIOR)
     return (together.join(known, "entity").join(terms, "term").crossJoin(F.broadcast(total))
             .select("entity", "term", share.alias("share"),
                     F.log2(share * F.col("docs") / F.col("entity_docs")).alias("bits"))

@@ -85,3 +85,18 @@ def test_redact_odd_rows(make):
     text = {r.doc_id: r.text for r in out.collect()}
     assert text[1] is None and text[2] == "" and text[12] == "+[CARD]"
     assert text[13] == "[EMAIL].\n[PHONE]"
+
+
+def test_terms_of_an_entity_in_one_document(make):
+    rows = [(1, "Professor Zyxwv answers at zed@uni.example in room one"),
+            (2, "Call Qwert on +49 30 1234567 now"), (3, "Qwert writes of room two")]
+    rows += [(i, f"Professor Other answers calls of room {i}") for i in range(10, 400)]
+    out = {r.doc_id: r.spans for r in s.report(make(rows)).collect()}
+
+    def terms(doc, text):
+        parts = [p.split(":") for p in out[doc].split(",")]
+        return {text[int(a):int(b)] for k, a, b in parts if k == "term"}
+    assert terms(1, rows[0][1]) == {"Zyxwv", "one"}
+    assert terms(2, rows[1][1]) == {"Call", "Qwert", "now"} and out[3] == ""
+    clean = {r.doc_id: r.text for r in s.redact(make(rows)).collect()}
+    assert clean[1] == "Professor [...] answers at [EMAIL] in room [...]"
