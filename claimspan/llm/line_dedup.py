@@ -1,8 +1,9 @@
 """Line dedup: exact and near repeats of lines, across and within documents.
 
 A line goes if an earlier line (by doc_id, then place) is at most EDITS insertions,
-deletions or substitutions away. Lines are compared without white space around them; lines
-under MIN_CHARS code points stay, they are too short to tell a repeat from chance.
+deletions or substitutions away. Lines are compared without white space around them. Lines under
+MIN_CHARS code points are too short for edits to tell a repeat from chance; they go only as
+exact repeats, from `exact_chars` code points on. The query and the pipeline ask for 1.
 
 1. Exact repeats: lines meet by a 128-bit hash; the first place of each is a plain minimum,
    aggregated within tasks, so a line that makes up a third of all costs a row per task.
@@ -49,17 +50,25 @@ def _order(doc: str = "doc_id", at: str = "__at") -> Column:
     return (high * F.lit(1 << 32).cast("decimal(11,0)") + F.col(at)).cast("decimal(38,0)")
 
 
-def _lines(keyed: DataFrame, *more: str) -> DataFrame:
+def _long_enough(trimmed: Column, least: int) -> Column:
+    """Whether a line has `least` code points; short ones must not be blank."""
+    long = F.length(trimmed) >= MIN_CHARS
+    if least >= MIN_CHARS:
+        return F.length(trimmed) >= least
+    return long | ((F.length(trimmed) >= least) & trimmed.rlike(r"(?U)\S"))
+
+
+def _lines(keyed: DataFrame, *more: str, least: int = MIN_CHARS) -> DataFrame:
     """The lines that are long enough, trimmed, with their places."""
     exploded = keyed.select("__row", "doc_id", *more,
                             F.posexplode(F.split("text", "\n")).alias("__at", "__line"))
     return exploded.withColumn("__line", F.trim("__line")).where(
-        F.length("__line") >= MIN_CHARS)
+        _long_enough(F.col("__line"), least))
 
 
-def exact_repeats(keyed: DataFrame) -> DataFrame:
+def exact_repeats(keyed: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     """__row, doc_id, __at of lines that stood in an earlier place."""
-    hashed = _lines(keyed).select("__row", "doc_id", "__at", _order().alias("__order"),
+    hashed = _lines(keyed, least=least).select("__row", "doc_id", "__at", _order().alias("__order"),
                                   F.xxhash64("__line").alias("h1"),
                                   F.xxhash64(F.lit(1), "__line").alias("h2"))
     first = hashed.groupBy("h1", "h2").agg(F.min("__order").alias("first"),
@@ -198,27 +207,28 @@ def near_repeats(keyed: DataFrame, exact: DataFrame, edits: int = EDITS) -> Data
         "__row", "doc_id", "__at").distinct()
 
 
-def dedup_lines(docs: DataFrame, edits: int = EDITS, counts: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, edits: int = EDITS, counts: bool = False,
+                exact_chars: int = MIN_CHARS) -> DataFrame:
     """docs with their repeated lines removed; if asked for, n_lines and n_removed (of lines
-    long enough, both) follow."""
+    with exact_chars code points, both) follow."""
     if edits < 1:
         raise ValueError("edits must be positive")
     keyed = _keyed(docs)
-    exact = stored(exact_repeats(keyed), "exact_lines")
+    exact = stored(exact_repeats(keyed, exact_chars), "exact_lines")
     gone = _gone(exact.unionByName(near_repeats(keyed, exact, edits)), "__gone")
     joined = _joined(keyed, gone)
     kept = F.filter(F.split("text", "\n"), lambda line, at: _stays("__gone", at))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    told = [F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda line: F.length(
-                F.trim(line)) >= MIN_CHARS)), F.lit(0)).cast("long").alias("n_lines"),
+    told = [F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda line: _long_enough(
+                F.trim(line), exact_chars))), F.lit(0)).cast("long").alias("n_lines"),
             F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
             .alias("n_removed")] if counts else []
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`")
                            for c in docs.columns], *told)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, exact_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, n_lines, n_removed and the SHA-256 of the text that is left (null: none)."""
-    out = dedup_lines(docs.select("doc_id", "text"), counts=True)
+    out = dedup_lines(docs.select("doc_id", "text"), counts=True, exact_chars=exact_chars)
     return out.select("doc_id", "n_lines", "n_removed",
                       F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

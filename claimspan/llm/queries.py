@@ -44,7 +44,7 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.report(table(spark, sf_dir, "documents"))
+    return line_dedup.report(table(spark, sf_dir, "documents"), exact_chars=1)
 
 
 def op8_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:

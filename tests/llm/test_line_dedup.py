@@ -112,3 +112,28 @@ def test_whole_table(documents):
         for line in got[doc].split("\n"):
             if len(line.strip(" ")) >= l.MIN_CHARS:
                 assert exact[line.strip(" ")] == doc
+
+
+def test_short_lines_go_as_exact_repeats(make):
+    rows = [(1, "Read more\nYes.\n\n\t\r\nRead less"), (2, "Read more\n \n\t\r\nシェアする"),
+            (3, "  Yes. \nシェアする\nシェアすろ"), (4, "x\n" * 3)]
+    out = {r.doc_id: r.text for r in l.dedup_lines(make(rows), exact_chars=1).collect()}
+    assert out == {1: rows[0][1], 2: " \n\t\r\nシェアする", 3: "シェアすろ", 4: "x\n"}
+    told = {r.doc_id: (r.n_lines, r.n_removed)
+            for r in l.report(make(rows), exact_chars=1).collect()}
+    assert told == {1: (3, 0), 2: (2, 1), 3: (3, 2), 4: (3, 2)}
+
+
+def test_query_removes_short_repeats(spark, documents):
+    from claimspan.llm.queries import QUERIES
+    seen, expected = set(), 0
+    for r in documents.orderBy("doc_id").collect():
+        for line in (r.text or "").split("\n"):
+            line = line.strip(" ")
+            if line.strip() and len(line) < l.MIN_CHARS:
+                expected += line in seen
+                seen.add(line)
+    long = l.report(documents).agg(F.sum("n_removed")).first()[0]
+    every = QUERIES["op7_line_dedup"](spark, "/root/testdata/sf0.001").agg(
+        F.sum("n_removed")).first()[0]
+    assert expected > 0 and every == long + expected
