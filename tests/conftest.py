@@ -1,19 +1,16 @@
-import datetime as dt
 import sys
-from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
-ROOT = Path(__file__).resolve().parent.parent
+from support import CLAIM, ROOT
+
 sys.path.insert(0, str(ROOT))
 
 from claimspan.functions.bizcal import BusinessCalendar  # noqa: E402
 from claimspan.schemas import CLAIMS_WITH_DURATIONS  # noqa: E402
 from claimspan.session import configured  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -33,24 +30,6 @@ def calendar(spark):
     return BusinessCalendar()
 
 
-def date(text):
-    return dt.date.fromisoformat(text)
-
-
-# A claim in the last table: NIGO, called, nurse review, approved.
-CLAIM = {
-    "claim_num": 1, "igo_nigo": "NIGO", "nigo_followed_up_mode": "Call",
-    "is_nurse_review_required": "Yes", "decision": "Approved", "claims_analyst": "Paul King",
-    "diagnosis": "Nervous", "received_date": date("2020-01-02"),
-    "intake_decided_date": date("2020-01-06"), "nigo_followed_up_date": date("2020-01-08"),
-    "all_info_received_date": date("2020-01-13"), "decided_1_date": date("2020-01-15"),
-    "nurse_reviewed_date": date("2020-01-17"), "decided_2_date": date("2020-01-22"),
-    "return_to_work_date": date("2020-03-16"), "total_biz_days": 13, "over_five_biz_days": 1,
-    "over_ten_biz_days": 1, "nigo_followed_up_to_all_info_received_biz_days": 3,
-    "total_claims_analyst_hours": 2.5,
-}
-
-
 @pytest.fixture(scope="session")
 def claims_of(spark):
     """A claims table from changes to CLAIM, one row each; columns not named are null."""

@@ -1,0 +1,25 @@
+"""What several tests share. Nothing imports a conftest: there is more than one of that name."""
+
+import datetime as dt
+from pathlib import Path
+
+ROOT = Path(__file__).resolve().parent.parent
+SF = "/root/testdata/sf0.001"
+
+
+def date(text):
+    return dt.date.fromisoformat(text)
+
+
+# A claim in the last table: NIGO, called, nurse review, approved.
+CLAIM = {
+    "claim_num": 1, "igo_nigo": "NIGO", "nigo_followed_up_mode": "Call",
+    "is_nurse_review_required": "Yes", "decision": "Approved", "claims_analyst": "Paul King",
+    "diagnosis": "Nervous", "received_date": date("2020-01-02"),
+    "intake_decided_date": date("2020-01-06"), "nigo_followed_up_date": date("2020-01-08"),
+    "all_info_received_date": date("2020-01-13"), "decided_1_date": date("2020-01-15"),
+    "nurse_reviewed_date": date("2020-01-17"), "decided_2_date": date("2020-01-22"),
+    "return_to_work_date": date("2020-03-16"), "total_biz_days": 13, "over_five_biz_days": 1,
+    "over_ten_biz_days": 1, "nigo_followed_up_to_all_info_received_biz_days": 3,
+    "total_claims_analyst_hours": 2.5,
+}

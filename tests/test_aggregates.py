@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from claimspan.functions.rounding import half_up_ratio
 from claimspan.plans.aggregates import DRILL_DOWN, agg_gen, agg_tat, agg_tat_drilldown
-from conftest import SF, date
+from support import SF, date
 from harness import derived
 
 PERIOD = "2020-01-01", "2020-02-28"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimspan.constants import US_HOLIDAYS
 from claimspan.functions import dates
 from claimspan.functions.bizcal import BusinessCalendar
-from conftest import date
+from support import date
 
 START, END = date("2019-01-01"), date("2022-12-31")
 DAYS = [START + dt.timedelta(days=i) for i in range((END - START).days + 1)]

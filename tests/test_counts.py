@@ -6,7 +6,7 @@ import pytest
 from claimspan.constants import DEMO_TODAY_DATES, US_HOLIDAYS
 from claimspan.functions.bizcal import BusinessCalendar
 from claimspan.plans import counts
-from conftest import SF, date
+from support import SF, date
 from harness import derived
 
 TODAY = "2020-04-10"

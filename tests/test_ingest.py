@@ -10,7 +10,7 @@ from claimspan.sources.csv_inputs import (
     analyst_parameters, diagnosis_parameters, read_claims_export, read_parameters,
 )
 from claimspan.sources.tables import conform
-from conftest import SF
+from support import SF
 from harness import derived
 
 
@@ -113,7 +113,7 @@ def test_replication_keeps_durations_and_shifts_dates(spark, calendar):
 
 
 def test_originals_off_business_days_are_not_rolled(spark, calendar, claims_of):
-    from conftest import date
+    from support import date
     saturday = claims_of({"received_date": date("2020-01-04"), "customer_num": 5})
     got = {r.claim_num: r.received_date
            for r in replicate_claims(saturday, calendar, copies=1).collect()}

@@ -6,7 +6,7 @@ import pytest
 
 from claimspan.constants import DEFAULT_TODAY, DEMO_QUERY_DATES
 from claimspan.plans.inventory import inventory, inventory_by
-from conftest import CLAIM, SF, date
+from support import CLAIM, SF, date
 from harness import derived
 
 STAGES = ["0_intake_deciding", "1_following_up", "2_waiting_call", "3_waiting_email",

@@ -10,7 +10,7 @@ from claimspan.plans.inventory import inventory, inventory_by
 from claimspan.schemas import CLAIMS_WITH_DURATIONS
 from claimspan.sources.csv_inputs import analyst_parameters, diagnosis_parameters
 from claimspan.sources.tables import conform, read_stage, write_stage
-from conftest import ROOT, SF
+from support import ROOT, SF
 from harness import derived
 from harness.registry import CLAIMS_QUERIES, PERIOD, QUERIES, TODAY, shared_path
 

@@ -20,7 +20,7 @@ from claimspan.sources.exports import (
 from claimspan.sources.tables import (
     conform, duplicate_keys, read_stage, require_unique, write_stage,
 )
-from conftest import SF
+from support import SF
 from harness import derived
 from harness.registry import CLAIMS_QUERIES, shared_path
 
