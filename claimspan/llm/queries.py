@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimspan.llm import (
     decontamination, extraction, line_dedup, mixing, neighbours, quality, sanitisation, simhash,
-    substring_dedup, suffix_tree,
+    substring_dedup, suffix_tree, tokenizer_alignment,
 )
 from claimspan.llm.common import table
 
@@ -59,6 +59,10 @@ def op10_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extraction.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenizer_alignment.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Query] = {
     "op8_sanitisation": op8_sanitisation,
     "op9_simhash": op9_simhash,
     "op10_extraction": op10_extraction,
+    "op11_alignment": op11_alignment,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
