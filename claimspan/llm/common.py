@@ -55,21 +55,24 @@ def slices(batch: pa.RecordBatch, column: str = TEXT,
 
 
 def with_columns(df: DataFrame, text: str, fields: Sequence[T.StructField],
-                 work: Callable[[list[bytes | None]], list[pa.Array]]) -> DataFrame:
+                 work: Callable[..., list[pa.Array]], beside: str | None = None) -> DataFrame:
     """df and the columns that `work` makes of a list of texts (UTF-8), in Arrow batches.
 
-    An input column with the name of a new one is replaced. Other columns pass untouched.
+    An input column with the name of a new one is replaced. Other columns pass untouched. If
+    one is named by `beside`, `work` gets the list of its values before the texts.
     """
     new = {field.name for field in fields}
     kept = [field for field in df.schema.fields if field.name not in new]
     schema = T.StructType(kept + list(fields))
+    at = None if beside is None else [field.name for field in kept].index(beside)
     source = df.select(*[F.col(f"`{field.name}`") for field in kept],
                        F.col(text).cast("binary").alias(TEXT))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                made = work(part.column(part.num_columns - 1).to_pylist())
+                given = [] if at is None else [part.column(at).to_pylist()]
+                made = work(*given, part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[:-1], *made], names=schema.names)
 

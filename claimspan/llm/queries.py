@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from claimspan.llm import (
-    decontamination, extraction, line_dedup, mixing, neighbours, quality, sanitisation, simhash,
-    substring_dedup, suffix_tree, tokenizer_alignment,
+    decontamination, extraction, line_dedup, mixing, neighbours, periodic_runs, quality,
+    sanitisation, simhash, substring_dedup, suffix_tree, tokenizer_alignment,
 )
 from claimspan.llm.common import table
 
@@ -63,6 +63,10 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenizer_alignment.report(table(spark, sf_dir, "documents"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -75,6 +79,7 @@ QUERIES: dict[str, Query] = {
     "op9_simhash": op9_simhash,
     "op10_extraction": op10_extraction,
     "op11_alignment": op11_alignment,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -117,9 +122,51 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)"""
 
+_CRC32 = """list_reduce([4294967295] || list_transform(
+  string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+  lambda acc, code: list_reduce([xor(acc, code)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0],
+    lambda x, zero: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END))"""
+
+_RUNS = rf"""
+WITH cut AS (SELECT doc_id, xor({_CRC32}, 4294967295) AS h,
+                    regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w
+             FROM documents),
+laid AS (SELECT doc_id, w, len(w) AS n, h % 10 = 0 AND len(w) > 0 AS loops,
+                CASE WHEN len(w) > 0 THEN (h // 10) % len(w) END AS a, (h // 10) % 8 AS g8
+         FROM cut),
+numbered AS (SELECT doc_id, n, i, CASE WHEN loops AND i >= a
+                    THEN w[a + (i - a) % (1 + (n - a) // (3 + g8)) + 1] ELSE w[i + 1] END AS word
+             FROM laid, unnest(range(n)) AS t(i)),
+matches AS (SELECT x.doc_id, x.i, x.i - y.i AS lag
+            FROM numbered AS x JOIN numbered AS y USING (doc_id, word)
+            WHERE x.i > y.i AND 2 * (x.i - y.i) <= x.n),
+stretches AS (SELECT doc_id, lag, min(i) - lag AS start, count(*) + lag AS length
+              FROM (SELECT doc_id, lag, i, i - row_number() OVER (
+                           PARTITION BY doc_id, lag ORDER BY i) AS island FROM matches)
+              GROUP BY doc_id, lag, island),
+runs AS (SELECT doc_id, start, length, min(lag) AS period FROM stretches
+         WHERE length >= 12 AND length >= 2 * lag GROUP BY doc_id, start, length),
+told AS (SELECT doc_id, count(*) AS n_runs,
+                string_agg(start || ',' || length || ',' || period || chr(10), ''
+                           ORDER BY start, period) AS runs,
+                first(start ORDER BY length DESC, start, period) AS start,
+                first(length ORDER BY length DESC, start, period) AS length,
+                first(period ORDER BY length DESC, start, period) AS period
+         FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, i
+         FROM runs, unnest(range(start + period, start + length)) AS t(i)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text
+         FROM numbered ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period,
+       1000 * length // period AS exponent_milli, sha256(coalesce(runs, '')) AS runs_sha256,
+       sha256(coalesce(text, '')) AS collapsed_sha256
+FROM cut LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
 #: The others train models, search approximately, or hash by functions that SQL lacks; they are
 #: tested against brute force, definitions and held-out labels in tests/llm.
 ORACLE: dict[str, str] = {
     "op1_substring_dedup": _SUBSTRINGS,
     "op5_decontamination": _LEAKS,
+    "op12_periodic_runs": _RUNS,
 }
