@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimspan.llm import (
     decontamination, extraction, line_dedup, mixing, neighbours, periodic_runs, quality,
-    sanitisation, simhash, substring_dedup, suffix_tree, tokenizer_alignment,
+    quality_rules, sanitisation, simhash, substring_dedup, suffix_tree, tokenizer_alignment,
 )
 from claimspan.llm.common import table
 
@@ -67,6 +67,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.report(table(spark, sf_dir, "documents"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(table(spark, sf_dir, "documents"),
+                                table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_mixing": op2_mixing,
@@ -80,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op10_extraction": op10_extraction,
     "op11_alignment": op11_alignment,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
