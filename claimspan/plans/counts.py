@@ -16,7 +16,7 @@ from claimspan.functions.dates import DateLike
 from claimspan.plans.arguments import DateRange, checked_date, checked_int, period_start
 from claimspan.plans.inventory import stage_predicates
 from claimspan.schemas import TOUCHES
-from claimspan.sources.tables import closed_from, decided_between, decided_from
+from claimspan.sources.tables import dated_between, decided_between, decided_from, open_on
 
 
 def _count(claims: DataFrame, *conditions: Column) -> DataFrame:
@@ -64,7 +64,7 @@ def claims_received(claims: DataFrame, subfunction: str, today: DateLike,
         raise _unknown(subfunction)
     start = _start_of(subfunction.removeprefix("this_"), end)
     return _count(claims, F.col("received_date").between(F.lit(start), F.lit(end)),
-                  closed_from(claims, start))
+                  dated_between(claims, start, end))
 
 
 def decision_inventory(claims: DataFrame, subfunction: str, today: DateLike,
@@ -73,7 +73,7 @@ def decision_inventory(claims: DataFrame, subfunction: str, today: DateLike,
     """Claims awaiting their final decision: ``total`` or ``pending_gt_n_days``."""
     day = checked_date(today, allowed)
     waiting = [(F.col("received_date") < F.lit(day)) & (F.lit(day) <= F.col("decided_2_date")),
-               decided_from(claims, day)]
+               decided_from(claims, day), open_on(claims, day)]
     if subfunction == "total":
         return _count(claims, *waiting)
     if subfunction != "pending_gt_n_days":
@@ -103,7 +103,7 @@ def payout_inventory(claims: DataFrame, subfunction: str, today: DateLike,
     """Claims being paid out: ``total`` or ``count_with_missed_touches``."""
     today = checked_date(today, allowed)
     day = F.lit(today)
-    paying = [stage_predicates(day)["7_paying_out"], closed_from(claims, today)]
+    paying = [stage_predicates(day)["7_paying_out"], open_on(claims, today)]
     if subfunction == "total":
         return _count(claims, *paying)
     if subfunction != "count_with_missed_touches":
@@ -119,7 +119,7 @@ def claims_returned_to_work(claims: DataFrame, subfunction: str, today: DateLike
     end = checked_date(today, allowed)
     start = period_start(end, calendar, months_before=months_before)
     returned = [F.col("return_to_work_date").between(F.lit(start), F.lit(end)),
-                closed_from(claims, start)]
+                dated_between(claims, start, end)]
     if subfunction == "total":
         return _count(claims, *returned)
     if subfunction != "duration_gt_x_percent":

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from claimspan.constants import DEFAULT_TODAY, MILESTONES
 from claimspan.functions.dates import DateLike
 from claimspan.plans.arguments import DateRange, checked_columns, checked_date
-from claimspan.sources.tables import closed_from
+from claimspan.sources.tables import open_on
 
 
 def stage_predicates(day: Column) -> dict[str, Column]:
@@ -65,7 +65,7 @@ def _stage_counts(claims: DataFrame, day: dt.date, by: Sequence[str]) -> DataFra
     """One scan, one aggregate: a row per group with a count per stage, then a row per stage."""
     stages = stage_predicates(F.lit(day))
     counts = (
-        claims.where(may_be_open(F.lit(day)) & closed_from(claims, day))
+        claims.where(may_be_open(F.lit(day)) & open_on(claims, day))
         .groupBy(*by)
         .agg(*(F.count(F.when(inside, 1)).alias(stage) for stage, inside in stages.items()))
     )

@@ -1,22 +1,37 @@
-"""Stage tables: declared schemas, replacement writes, ordered reads and key checks."""
+"""Stage tables: declared schemas, replacing and appending writes, ordered reads, key checks."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import (
+    DateType, IntegerType, StringType, StructField, StructType,
+)
 
 from claimspan.constants import MILESTONES
 from claimspan.functions.dates import DateLike, as_date
+from claimspan.sources.key_digests import colliding_parts, write_digest
+from claimspan.sources.versions import Segment, current, delete, new_folder, publish
 
 DECIDED_MONTH = "decided_month"
 CLOSED_MONTH = "closed_month"
+OPEN_LEVEL = "open_level"
+OPEN_BLOCK = "open_block"
+SEGMENT = "segment"
 _DECIDED = "decided_2_date"
 _DATES = (*MILESTONES, "return_to_work_date")
 
+#: Layouts of a table and their partition columns.
+LAYOUTS = {
+    "": [],
+    "decided_month": [StructField(DECIDED_MONTH, DateType()),
+                      StructField(CLOSED_MONTH, DateType())],
+    "open_interval": [StructField(OPEN_LEVEL, IntegerType()),
+                      StructField(OPEN_BLOCK, IntegerType())],
+}
+
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:
     missing = [name for name in names if name not in df.columns]
@@ -43,72 +58,187 @@ def require_unique(df: DataFrame, *key: str) -> DataFrame:
     return df
 
 
+# ---- layouts ----------------------------------------------------------------------------
+
+
+def month_number(day: Column) -> Column:
+    return (F.year(day) * 12 + F.month(day) - 1).cast("int")
+
+
+def _month_of(day: DateLike) -> int:
+    day = as_date(day)
+    return day.year * 12 + day.month - 1
+
+
+def _shifted(number: Column, by: Column) -> Column:
+    return F.call_function("shiftright", number, by)
+
+
+def open_interval() -> dict[str, Column]:
+    """The smallest dyadic block of months that holds a claim's whole time, by level and number.
+
+    A block of level l has 2^l months and starts at a multiple of that. Any month lies in one
+    block of each level, so that a claim that is open in a month is in one of a few blocks, and
+    each level above the first holds only what was open across the middle of its blocks.
+    """
+    first, last = month_number(F.least(*_DATES)), month_number(F.greatest(*_DATES))
+    apart = first.bitwiseXOR(last)
+    level = F.when(apart == 0, 0).otherwise(F.length(F.bin(apart)))
+    level = F.when(apart.isNotNull(), level).cast("int")
+    return {OPEN_LEVEL: level, OPEN_BLOCK: _shifted(first, level)}
+
+
+def _partitions(layout: str) -> dict[str, Column]:
+    if layout == "decided_month":
+        return {DECIDED_MONTH: F.trunc(_DECIDED, "month"),
+                CLOSED_MONTH: F.trunc(F.greatest(*_DATES), "month")}
+    return open_interval() if layout else {}
+
+
+def _write(df: DataFrame, folder: str, layout: str) -> None:
+    """Rows are rebalanced by partition: at run time Spark splits a busy one over as many tasks
+    as its size asks for and lets quiet ones share a task. Files are sorted by decision date, so
+    that their statistics prune within a partition."""
+    parts = _partitions(layout)
+    if parts:
+        df = (df.withColumns(parts).hint("rebalance", *map(F.col, parts))
+              .sortWithinPartitions(*parts, _DECIDED))
+    df.write.partitionBy(*parts).parquet(folder)
+
+
+def _read(spark: SparkSession, path: str, segments: list[str], schema: StructType,
+          layout: str) -> DataFrame:
+    """Segments of a table, in one scan. To Spark they are partitions."""
+    whole = StructType(schema.fields + LAYOUTS[layout] + [StructField(SEGMENT, StringType())])
+    folder = path.rstrip("/")
+    return spark.read.schema(whole).option("basePath", folder).parquet(
+        *(f"{folder}/{segment}" for segment in segments)).drop(SEGMENT)
+
+
+# ---- writing and reading ----------------------------------------------------------------
+
+
+def _layout(by_decided_month: bool, by_open_interval: bool) -> str:
+    if by_decided_month and by_open_interval:
+        raise ValueError("a table has one layout")
+    return ("decided_month" if by_decided_month else
+            "open_interval" if by_open_interval else "")
+
+
 def write_stage(df: DataFrame, path: str, schema: StructType, key: str | None = None,
-                by_decided_month: bool = False) -> None:
+                by_decided_month: bool = False, by_open_interval: bool = False) -> None:
     """Replace the stage table at ``path``.
 
-    Rows are written beside the old table, which is replaced when they are complete. With a
-    key, the stored key column is read back first, and duplicates are refused; a refused or
-    failed write leaves the old table as it was. By decided month, partitions are months of
-    the decision and, below, of the last date of a claim. Rows are rebalanced: at run time
-    Spark splits a busy month over as many tasks as its size asks for and lets quiet months
-    share one. Files are sorted by decision date, so that their statistics prune within a month.
+    Rows go to a new folder; a pointer, created last, makes it the table. With a key, the
+    stored key column is read back first, and duplicates are refused; what is known of the
+    keys is kept beside the data for ``append_stage``. A refused, failed or stopped write
+    leaves the old table as it was, and a table may replace itself.
+
+    By decided month, partitions are months of the decision and, below, of the last date of a
+    claim. By open interval, they are dyadic blocks of months (``open_interval``): a question
+    about a day, however long ago, reads one block a level.
     """
-    stage, spark = conform(df, schema), df.sparkSession
-    fresh = f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    spark, layout = df.sparkSession, _layout(by_decided_month, by_open_interval)
+    base = current(spark, path)
+    fresh, digest = new_folder(path, f"{SEGMENT}="), new_folder(path, "keys-")
     try:
-        if by_decided_month:
-            months = {DECIDED_MONTH: F.trunc(_DECIDED, "month"),
-                      CLOSED_MONTH: F.trunc(F.greatest(*_DATES), "month")}
-            (stage.withColumns(months)
-             .hint("rebalance", *map(F.col, months))
-             .sortWithinPartitions(*months, _DECIDED)
-             .write.partitionBy(*months).parquet(fresh))
-        else:
-            stage.write.parquet(fresh)
+        _write(conform(df, schema), fresh, layout)
         if key:
-            require_unique(read_stage(spark, fresh, schema).select(key), key)
-        _switch(spark, fresh, path)
+            stored = _read(spark, path, [_name(fresh)], schema, layout)
+            require_unique(stored.select(key), key)
+            write_digest(stored, key, _part_names(layout), digest)
+        publish(spark, path, base, layout,
+                (Segment(_name(fresh), _name(digest) if key else None),))
     except BaseException:
-        _files(spark, fresh).delete(_hadoop_path(spark, fresh), True)
+        delete(spark, fresh)
+        delete(spark, digest)
         raise
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path)
+def append_stage(df: DataFrame, path: str, schema: StructType, key: str) -> None:
+    """Add a batch of new rows to the stage table at ``path``, or refuse all of it.
+
+    Columns are aligned by name; nullable ones that the batch lacks are null, and ones that the
+    schema lacks are an error. A key that is null, repeats in the batch or is stored already
+    refuses the batch. Stored keys are looked up by the digests of the segments before: only
+    partitions whose filter may hold a new key are read, and of those the key column alone.
+    """
+    spark = df.sparkSession
+    base = current(spark, path)
+    if not base.segments:
+        raise ValueError(f"no table at {path} to append to")
+    if any(segment.digest is None for segment in base.segments):
+        raise ValueError(f"{path} was written without a key")
+    unknown = [c for c in df.columns if c not in schema.names]
+    if unknown:
+        raise ValueError(f"unknown columns: {', '.join(unknown)}")
+    require_columns(df, [f.name for f in schema if not f.nullable or f.name == key])
+    absent = [f for f in schema if f.name not in df.columns]
+    aligned = df.withColumns({f.name: F.lit(None).cast(f.dataType) for f in absent})
+    fresh, digest = new_folder(path, f"{SEGMENT}="), new_folder(path, "keys-")
+    try:
+        _write(conform(aligned, schema), fresh, base.layout)
+        batch = _read(spark, path, [_name(fresh)], schema, base.layout)
+        keys = batch.select(key)
+        if not keys.where(F.col(key).isNull()).isEmpty():
+            raise ValueError(f"the key {key} must not be null")
+        require_unique(keys, key)
+        write_digest(batch, key, _part_names(base.layout), digest)
+        _require_new(spark, keys, key, path, schema, base.layout, base.segments)
+        publish(spark, path, base, base.layout,
+                (*base.segments, Segment(_name(fresh), _name(digest))))
+    except BaseException:
+        delete(spark, fresh)
+        delete(spark, digest)
+        raise
+
 
+def _require_new(spark: SparkSession, keys: DataFrame, key: str, path: str, schema: StructType,
+                 layout: str, segments: tuple[Segment, ...]) -> None:
+    digests = {s.data: f"{path.rstrip('/')}/{s.digest}" for s in segments}
+    names = _part_names(layout)
+    for data, parts in colliding_parts(spark, keys, key, digests, names).items():
+        stored = _read(spark, path, [data], schema, layout)
+        where = F.lit(not names)
+        for part in parts:
+            here = F.lit(True)
+            for name, value in zip(names, part):
+                kind = stored.schema[name].dataType
+                here = here & F.col(name).eqNullSafe(F.lit(value).cast(kind))
+            where = where | here
+        found = stored.where(where).select(key).join(keys, key, "left_semi").head(1)
+        if found:
+            raise ValueError(f"duplicate key {key}, for example {found[0].asDict()}")
 
-def _files(spark: SparkSession, path: str):
-    return _hadoop_path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
+def _part_names(layout: str) -> list[str]:
+    return [part.name for part in LAYOUTS[layout]]
 
-def _switch(spark: SparkSession, fresh: str, path: str) -> None:
-    """Put a complete folder in the place of another, which goes last."""
-    files, old = _files(spark, path), f"{fresh}-replaced"
-    at = {name: _hadoop_path(spark, name) for name in (fresh, path, old)}
-    replaces = files.exists(at[path])
-    if replaces and not files.rename(at[path], at[old]):
-        raise OSError(f"cannot move {path} aside")
-    if not files.rename(at[fresh], at[path]):
-        if replaces:
-            files.rename(at[old], at[path])
-        raise OSError(f"cannot move {fresh} to {path}")
-    files.delete(at[old], True)
-    spark.catalog.refreshByPath(path)
+
+def _name(folder: str) -> str:
+    return folder.rsplit("/", 1)[1]
 
 
 def read_stage(spark: SparkSession, path: str, schema: StructType,
-               by_decided_month: bool = False, order_by: str | None = None) -> DataFrame:
-    """A stage table, in key order if asked for. The month columns stay for pruning."""
-    if by_decided_month:
-        schema = StructType(schema.fields + [StructField(name, DateType())
-                                             for name in (DECIDED_MONTH, CLOSED_MONTH)])
-    stage = spark.read.schema(schema).parquet(path)
+               order_by: str | None = None) -> DataFrame:
+    """The stage table as it is now, in key order if asked for.
+
+    Later changes of the table don't touch what was read. Columns of the layout stay for pruning.
+    """
+    version = current(spark, path)
+    if not version.number:
+        raise ValueError(f"no table at {path}")
+    stage = _read(spark, path, [s.data for s in version.segments], schema, version.layout)
     return stage.orderBy(order_by) if order_by else stage
 
 
+# ---- conditions that prune --------------------------------------------------------------
+
+
 def _from_month(df: DataFrame, column: str, day: DateLike) -> Column:
-    """Prunes partitions on a table by month, else holds for all."""
+    """Prunes partitions on a table by month or by open interval, else holds for all."""
+    if OPEN_BLOCK in df.columns:
+        return F.col(OPEN_BLOCK) >= _shifted(F.lit(_month_of(day)), F.col(OPEN_LEVEL))
     if column not in df.columns:
         return F.lit(True)
     return F.col(column) >= F.lit(as_date(day).replace(day=1))
@@ -124,10 +254,28 @@ def closed_from(df: DataFrame, day: DateLike) -> Column:
     return _from_month(df, CLOSED_MONTH, day)
 
 
+def open_on(df: DataFrame, day: DateLike) -> Column:
+    """Holds for every claim with a date on or before the day and one on or after it."""
+    if OPEN_BLOCK in df.columns:
+        return F.col(OPEN_BLOCK) == _shifted(F.lit(_month_of(day)), F.col(OPEN_LEVEL))
+    return closed_from(df, day)
+
+
+def dated_between(df: DataFrame, start: DateLike, end: DateLike) -> Column:
+    """Holds for every claim with any date in the closed range."""
+    if OPEN_BLOCK in df.columns:
+        level = F.col(OPEN_LEVEL)
+        return F.col(OPEN_BLOCK).between(_shifted(F.lit(_month_of(start)), level),
+                                         _shifted(F.lit(_month_of(end)), level))
+    return closed_from(df, start)
+
+
 def decided_between(df: DataFrame, start: DateLike, end: DateLike) -> Column:
-    """Closed range of the decision date; on a table by month it also prunes partitions."""
+    """Closed range of the decision date; it also prunes partitions of a table that has them."""
     start, end = as_date(start), as_date(end)
     in_period = F.col(_DECIDED).between(F.lit(start), F.lit(end))
+    if OPEN_BLOCK in df.columns:
+        return in_period & dated_between(df, start, end)
     if DECIDED_MONTH in df.columns:
         months = F.col(DECIDED_MONTH).between(F.lit(start.replace(day=1)), F.lit(end))
         return months & in_period

@@ -232,6 +232,7 @@ def _columns(schema) -> str:
 
 TODAY = "DATE '2020-04-10'"
 DAY = "DATE '2020-01-15'"
+_HISTORY = ("DATE '2019-12-02'", "DATE '2020-02-14'", "DATE '2020-06-01'")
 DECIDED = "decided_2_date BETWEEN DATE '2020-02-03' AND DATE '2020-02-28'"
 
 
@@ -406,6 +407,9 @@ SELECT k AS claim_num, nigo_following_up_hours, deciding_1_hours, deciding_2_hou
         "SELECT claim_num, COUNT(*) AS count FROM extended GROUP BY claim_num "
         "HAVING COUNT(*) > 1", copies=7, stride=1000),
     "stage_roundtrip": _over_claims(f"SELECT {_columns(CLAIMS_WITH_DURATIONS)} FROM claims"),
+    "stage_append": _over_claims(f"SELECT {_columns(CLAIMS_WITH_DURATIONS)} FROM claims"),
+    "inventory_history": _over_claims(" UNION ALL ".join(
+        f"SELECT {day} AS as_of, * FROM ({_inventory().replace(DAY, day)})" for day in _HISTORY)),
     "cal_date_math": """
 WITH probe AS (SELECT o_orderkey AS claim_num, CAST(o_orderdate AS DATE) AS day,
                       CAST(o_orderkey % 40 AS INTEGER) - 20 AS n FROM orders)

@@ -9,6 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +31,9 @@ from claimspan.sources.csv_inputs import (
     analyst_parameters, diagnosis_parameters, read_claims_export, read_parameters,
 )
 from claimspan.sources.exports import export_csv, export_json
-from claimspan.sources.tables import conform, duplicate_keys, read_stage, write_stage
+from claimspan.sources.tables import (
+    append_stage, conform, duplicate_keys, read_stage, write_stage,
+)
 from harness import derived
 from harness.derived import CALENDAR
 from harness.export_file import write_export
@@ -175,11 +178,45 @@ def stage_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "claims_with_durations")
     write_stage(derived.claims_with_durations(spark, sf_dir), path, CLAIMS_WITH_DURATIONS,
                 key="claim_num", by_decided_month=True)
-    stage = read_stage(spark, path, CLAIMS_WITH_DURATIONS, by_decided_month=True,
+    stage = read_stage(spark, path, CLAIMS_WITH_DURATIONS,
                        order_by="claim_num")
     return stage.select(*CLAIMS_WITH_DURATIONS.names)
 
 
+BATCHES = 8  # one for each copy of a claim
+
+
+def stage_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage table from a first batch that replaces it and seven that are appended."""
+    whole, path = shared_path(spark, "whole"), shared_path(spark, "appended")
+    write_stage(derived.claims_with_durations(spark, sf_dir), whole, CLAIMS_WITH_DURATIONS)
+    claims = read_stage(spark, whole, CLAIMS_WITH_DURATIONS)
+    for i in range(BATCHES):
+        first = i * derived.KEY_STRIDE
+        batch = claims.where(F.col("claim_num").between(first, first + derived.KEY_STRIDE - 1))
+        if i == 0:
+            write_stage(batch, path, CLAIMS_WITH_DURATIONS, key="claim_num",
+                        by_open_interval=True)
+        else:
+            append_stage(batch, path, CLAIMS_WITH_DURATIONS, key="claim_num")
+    return read_stage(spark, path, CLAIMS_WITH_DURATIONS).select(*CLAIMS_WITH_DURATIONS.names)
+
+
+HISTORY = ("2019-12-02", "2020-02-14", "2020-06-01")
+
+
+def inventory_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory of an early, a middle and a late day, from a table by open interval."""
+    path = shared_path(spark, "by_open_interval")
+    write_stage(derived.claims_with_durations(spark, sf_dir, dims=False)
+                .withColumns({c: F.lit(None).cast("string") for c in ("geo", "industry")}),
+                path, CLAIMS_WITH_DURATIONS, by_open_interval=True)
+    claims = read_stage(spark, path, CLAIMS_WITH_DURATIONS)
+    return reduce(DataFrame.unionByName, (
+        inventory(claims, day).select(F.lit(day).cast("date").alias("as_of"), "stage", "count")
+        for day in HISTORY))
+
+
 # ---- calendar ---------------------------------------------------------------------------
 
 
@@ -325,6 +362,8 @@ QUERIES: dict[str, Query] = {
     "ingest_null_fill": ingest_null_fill,
     "dq_duplicate_claims": dq_duplicate_claims,
     "stage_roundtrip": stage_roundtrip,
+    "stage_append": stage_append,
+    "inventory_history": inventory_history,
     "cal_date_math": cal_date_math,
     "bizday_roll": bizday_roll,
     "bizday_offset": bizday_offset,

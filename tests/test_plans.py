@@ -132,7 +132,7 @@ def test_queries_without_customer_columns_do_not_read_customers(spark, static_pl
 
 # These write or collect something by what they are.
 NOT_LAZY = {"param_analyst", "param_diagnosis", "ingest_claims_raw", "stage_roundtrip",
-            "export_csv", "export_json"}
+            "stage_append", "inventory_history", "export_csv", "export_json"}
 
 
 def test_asking_for_a_query_runs_nothing(spark):

@@ -34,7 +34,7 @@ def claims(spark):
 def by_month(spark, claims):
     path = shared_path(spark, "by_month")
     write_stage(claims, path, CLAIMS_WITH_DURATIONS, key="claim_num", by_decided_month=True)
-    return read_stage(spark, path, CLAIMS_WITH_DURATIONS, by_decided_month=True)
+    return read_stage(spark, path, CLAIMS_WITH_DURATIONS)
 
 
 def test_schemas_extend_each_other():
@@ -67,7 +67,7 @@ def test_duplicates_are_found_and_refused(spark, claims):
     write_stage(claims, path, CLAIMS_WITH_DURATIONS)
     with pytest.raises(ValueError, match="duplicate key claim_num"):
         write_stage(twice, path, CLAIMS_WITH_DURATIONS, key="claim_num")
-    assert spark.read.parquet(path).count() == claims.count()
+    assert read_stage(spark, path, CLAIMS_WITH_DURATIONS).count() == claims.count()
     assert require_unique(claims, "claim_num") is claims
 
 
@@ -115,7 +115,7 @@ def test_irregular_claims_on_a_table_by_month(spark, claims_of):
         {name: None for name in (*MILESTONES, "return_to_work_date")})
     path = shared_path(spark, "odd")
     write_stage(odd, path, CLAIMS_WITH_DURATIONS, by_decided_month=True)
-    stored = read_stage(spark, path, CLAIMS_WITH_DURATIONS, by_decided_month=True)
+    stored = read_stage(spark, path, CLAIMS_WITH_DURATIONS)
     assert stored.count() == 8
     for when in ("2020-01-07", "2020-01-22", "2020-02-15", "2020-11-30", "2021-03-01"):
         assert inventory(stored, when).collect() == inventory(odd, when).collect()
@@ -127,7 +127,7 @@ def test_a_failed_or_refused_write_leaves_the_old_table(spark, claims):
     broken = claims.withColumn("geo", F.raise_error(F.lit("no geo")).cast("string"))
     with pytest.raises(Exception, match="no geo"):
         write_stage(broken, path, CLAIMS_WITH_DURATIONS)
-    assert spark.read.parquet(path).count() == 5
+    assert read_stage(spark, path, CLAIMS_WITH_DURATIONS).count() == 5
     again = read_stage(spark, path, CLAIMS_WITH_DURATIONS)
     write_stage(again, path, CLAIMS_WITH_DURATIONS)  # a table may replace itself
     assert read_stage(spark, path, CLAIMS_WITH_DURATIONS).count() == 5
@@ -171,7 +171,7 @@ def test_a_busy_month_spreads_over_tasks(spark, claims):
         write_stage(busy, path, CLAIMS_WITH_DURATIONS, by_decided_month=True)
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
-    written = spark.read.parquet(path)
+    written = read_stage(spark, path, CLAIMS_WITH_DURATIONS)
     sizes = [r["count"] for r in written.groupBy(F.input_file_name()).count().collect()]
     assert len(sizes) >= 4 and max(sizes) < busy.count() / 2
     assert written.count() == busy.count()
