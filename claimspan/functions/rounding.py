@@ -20,8 +20,3 @@ def half_up_ratio(numerator: Column, denominator: Column, places: int = 2) -> Co
     unit = 10 ** places
     size = whole_quotient(F.abs(numerator) * (2 * unit) + denominator, denominator * 2)
     return F.sign(numerator) * size / F.lit(unit)
-
-
-def rounded_mean(values: Column, places: int = 2) -> Column:
-    """Aggregate: rounded mean of a whole-number column, ignoring nulls."""
-    return half_up_ratio(F.sum(values), F.count(values), places)

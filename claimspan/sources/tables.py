@@ -180,9 +180,7 @@ def append_stage(df: DataFrame, path: str, schema: StructType, key: str) -> None
         _write(conform(aligned, schema), fresh, base.layout)
         batch = _read(spark, path, [_name(fresh)], schema, base.layout)
         keys = batch.select(key)
-        if not keys.where(F.col(key).isNull()).isEmpty():
-            raise ValueError(f"the key {key} must not be null")
-        require_unique(keys, key)
+        _require_keys(keys, key)
         write_digest(batch, key, _part_names(base.layout), digest)
         _require_new(spark, keys, key, path, schema, base.layout, base.segments)
         publish(spark, path, base, base.layout,
@@ -193,6 +191,16 @@ def append_stage(df: DataFrame, path: str, schema: StructType, key: str) -> None
         raise
 
 
+def _require_keys(keys: DataFrame, key: str) -> None:
+    """No key is null or repeats, in one pass."""
+    counted = keys.groupBy(key).agg(F.count("*").alias("count"))
+    found = counted.where((F.col("count") > 1) | F.col(key).isNull()).head(1)
+    if found and found[0][key] is None:
+        raise ValueError(f"the key {key} must not be null")
+    if found:
+        raise ValueError(f"duplicate key {key}, for example {found[0].asDict()}")
+
+
 def _require_new(spark: SparkSession, keys: DataFrame, key: str, path: str, schema: StructType,
                  layout: str, segments: tuple[Segment, ...]) -> None:
     digests = {s.data: f"{path.rstrip('/')}/{s.digest}" for s in segments}

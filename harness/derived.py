@@ -106,6 +106,39 @@ def claims_raw_biz(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataF
     return reproject_dates(fill_missing(raw_claims(spark, sf_dir, dims)), CALENDAR)
 
 
+# Records of three systems: (recorded on, days until arrival, further columns, condition).
+_RECORDS = {
+    "intake": [
+        ("received_date", "k % 4", {"reported": "diagnosis", "complete": "igo_nigo"}, "true"),
+        ("date_add(received_date, 2)", "1 + k % 9",
+         {"reported": "concat(diagnosis, ', corrected')", "complete": "igo_nigo"}, "k % 6 = 0")],
+    "handling": [
+        ("nigo_followed_up_date", "k % 7",
+         {"status": "'asked'", "mode": "nigo_followed_up_mode"}, "igo_nigo = 'NIGO'"),
+        ("all_info_received_date", "k % 3",
+         {"status": "'answered'", "mode": "nigo_followed_up_mode"}, "igo_nigo = 'NIGO'")],
+    "decisions": [
+        ("decided_1_date", "(k div 3) % 5",
+         {"phase": "'first'", "verdict": "decision"}, "true"),
+        ("decided_2_date", "(k div 5) % 6", {"phase": "'final'", "verdict": "decision"},
+         "is_nurse_review_required = 'Yes'")],
+}
+
+
+def source_records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Records of claims from three systems, some of which arrive after later ones."""
+    claims = claims_raw_biz(spark, sf_dir, dims=False).withColumn("k", F.col("claim_num"))
+
+    def records(recorded: str, days: str, columns: dict[str, str], where: str) -> DataFrame:
+        return claims.where(where).selectExpr(
+            "claim_num", f"{recorded} as recorded_on",
+            f"date_add({recorded}, int({days})) as arrived_on",
+            *(f"{formula} as {name}" for name, formula in columns.items()))
+
+    return {name: records(*first).unionByName(records(*second))
+            for name, (first, second) in _RECORDS.items()}
+
+
 def claims_extended(spark: SparkSession, sf_dir: str, dims: bool = True) -> DataFrame:
     return extend_claims(claims_raw_biz(spark, sf_dir, dims), CALENDAR)
 

@@ -506,3 +506,37 @@ SELECT claim_num, day, {_bday(_ord('day'))} AS rolled,
         "SELECT CAST(json_object('stage', stage, 'claims_analyst', claims_analyst, "
         f"'count', count) AS VARCHAR) AS json FROM ({_inventory('claims_analyst')})"),
 }
+ORACLE |= {"cube_" + key.removeprefix("claims_"): ORACLE[key] for key in (
+    "agg_tat_by_geo_industry", "agg_gen_by_analyst_igo", "agg_tat_drilldown", "claims_agg_base")}
+
+# Records of a source, as (recorded on, days until arrival, columns, condition).
+_RECORDS = {
+    "intake": [("intake_decided_date", "k % 4", "diagnosis AS reported, igo_nigo AS complete",
+                "true"),
+               ("intake_decided_date + 2", "1 + k % 9",
+                "diagnosis || ', corrected' AS reported, igo_nigo AS complete", "k % 6 = 0")],
+    "handling": [("nigo_followed_up_date", "k % 7",
+                  "'asked' AS status, nigo_followed_up_mode AS mode", "nigo"),
+                 ("all_info_received_date", "k % 3",
+                  "'answered' AS status, nigo_followed_up_mode AS mode", "nigo")],
+    "decisions": [("decided_1_date", "(k // 3) % 5", "'first' AS phase, decision AS verdict",
+                   "true"),
+                  ("decided_2_date", "(k // 5) % 6", "'final' AS phase, decision AS verdict",
+                   "nurse")],
+}
+
+
+def _known(name: str) -> str:
+    """The last record of each claim, by a window."""
+    rows = " UNION ALL ".join(
+        f"SELECT claim_num, CAST({day} AS DATE) AS {name}_recorded_on, {columns} FROM dated "
+        f"WHERE {where} AND {day} + CAST({lag} AS INTEGER) <= DATE '2019-11-25'"
+        for day, lag, columns, where in _RECORDS[name])
+    return (f"{name} AS (SELECT * FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY claim_num "
+            f"ORDER BY {name}_recorded_on DESC) = 1)")
+
+
+ORACLE["claims_known_on"] = _with(
+    CALENDAR, SEED, _dated(0, STRIDE), *map(_known, _RECORDS)) + (
+    "SELECT * FROM intake FULL JOIN handling USING (claim_num) "
+    "FULL JOIN decisions USING (claim_num)")

@@ -22,7 +22,9 @@ from claimspan.operators.decisioning import backdate_receipt, stage_durations
 from claimspan.operators.lookups import analyst_compliance
 from claimspan.operators.payout import payout_dates, with_plan
 from claimspan.plans import aggregates, counts
+from claimspan.plans.cube import add_to_cube, read_cube, write_cube
 from claimspan.plans.inventory import inventory, inventory_by
+from claimspan.plans.known import known_on
 from claimspan.schemas import (
     ANALYST_PARAMS, CLAIMS_EXTENDED, CLAIMS_WITH_DURATIONS, DIAGNOSIS_PARAMS, STAGE_DURATIONS,
     TOUCHES,
@@ -333,6 +335,36 @@ def touch_attainment(spark: SparkSession, sf_dir: str) -> DataFrame:
         "dur_touch_actual_v_rec_percentage")
 
 
+# ---- cube and sources -------------------------------------------------------------------
+
+
+def _over_cube(key: str) -> Query:
+    """A query over claims, answered by a stored cube, which grew by a batch."""
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = shared_path(spark, "cube")
+        claims = derived.claims_with_durations(spark, sf_dir)
+        first = F.col("claim_num") < derived.KEY_STRIDE
+        write_cube(claims.where(first), path)
+        add_to_cube(claims.where(~first), path)
+        return CLAIMS_QUERIES[key](read_cube(spark, path))
+    return run
+
+
+KNOWN_ON = "2019-11-25"
+
+
+def claims_known_on(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return known_on(derived.source_records(spark, sf_dir), KNOWN_ON)
+
+
+CUBE_QUERIES = {
+    "cube_agg_tat_by_geo_industry": "agg_tat_by_geo_industry",
+    "cube_agg_gen_by_analyst_igo": "agg_gen_by_analyst_igo",
+    "cube_agg_tat_drilldown": "agg_tat_drilldown",
+    "cube_agg_base": "claims_agg_base",
+}
+
+
 # ---- exports ----------------------------------------------------------------------------
 
 
@@ -381,6 +413,8 @@ QUERIES: dict[str, Query] = {
     "touch_alignment": touch_alignment,
     "touch_attainment": touch_attainment,
     **{key: _over_claims(key) for key in CLAIMS_QUERIES},
+    "claims_known_on": claims_known_on,
+    **{key: _over_cube(query) for key, query in CUBE_QUERIES.items()},
     "export_csv": export_csv_query,
     "export_json": export_json_query,
 }

@@ -1,0 +1,87 @@
+"""What sources had told of claims by a day."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from claimspan.plans.known import known_on
+from harness import derived
+from support import SF, date
+
+SCHEMA = "claim_num long, recorded_on date, arrived_on date, {} string"
+
+
+def table(spark, rows, column):
+    return spark.createDataFrame(
+        [(k, r and date(r), a and date(a), v) for k, r, a, v in rows], SCHEMA.format(column))
+
+
+def test_late_records_do_not_replace_later_ones(spark):
+    a = table(spark, [(1, "2020-01-01", "2020-01-02", "first"),
+                      (1, "2020-01-05", "2020-01-06", "second"),
+                      (1, "2020-01-03", "2020-01-09", "late"),
+                      (2, "2020-01-01", "2020-01-20", "not yet"),
+                      (3, "2020-01-08", "2020-01-08", "same day"),
+                      (None, "2020-01-01", "2020-01-01", "no key"),
+                      (4, None, "2020-01-01", "no date"), (4, "2020-01-01", None, "no date")], "a")
+    b = table(spark, [(2, "2020-01-01", "2020-01-04", None), (5, "2020-01-07", "2020-01-07", "b")],
+              "b")
+
+    def told(day):
+        rows = known_on({"x": a, "y": b}, day).orderBy("claim_num").collect()
+        return [(r.claim_num, r.a, r.y_recorded_on and str(r.y_recorded_on), r.b) for r in rows]
+
+    assert told("2020-01-01") == []
+    assert told("2020-01-04") == [(1, "first", None, None), (2, None, "2020-01-01", None)]
+    assert told("2020-01-31") == [(1, "second", None, None), (2, "not yet", "2020-01-01", None),
+                                  (3, "same day", None, None), (5, None, "2020-01-07", "b")]
+
+
+def test_random_records_against_plain_python(spark):
+    rng = random.Random(8)
+    rows = {name: [(rng.randrange(30), f"2020-01-{rng.randint(1, 28):02d}",
+                    f"2020-01-{rng.randint(1, 28):02d}", f"{name}{i}") for i in range(200)]
+            for name in ("a", "b", "c", "d")}
+    sources = {name: table(spark, found, name).repartition(5) for name, found in rows.items()}
+    for day in ("2020-01-03", "2020-01-15", "2020-01-28"):
+        got = {r.claim_num: r for r in known_on(sources, day).collect()}
+        for name, found in rows.items():
+            arrived = [r for r in found if r[2] <= day]
+            assert {r[0] for r in arrived} <= got.keys()
+            for claim, row in got.items():
+                best = max(((r[1], r[2]) for r in arrived if r[0] == claim), default=None)
+                values = {r[3] for r in arrived if r[0] == claim and (r[1], r[2]) == best}
+                assert row[name] in values if values else row[name] is None
+        again = known_on({n: s.repartition(3) for n, s in sources.items()}, day)
+        assert sorted(again.collect()) == sorted(got.values())
+
+
+def test_one_exchange_and_no_window(spark):
+    sources = {name: table(spark, [(1, "2020-01-01", "2020-01-02", "x")], name) for name in "abcd"}
+    plan = known_on(sources, "2020-01-15")
+    plan = plan._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "partial_max_by" in plan
+    assert "Window" not in plan and "Join" not in plan and plan.count("max_by") >= 8
+
+
+def test_late_records_of_the_derived_sources(spark):
+    """The test's sources hold records that arrive after later ones."""
+    late = derived.source_records(spark, SF)["handling"].alias("x").join(
+        derived.source_records(spark, SF)["handling"].alias("y"), "claim_num").where(
+        "x.recorded_on < y.recorded_on and x.arrived_on > y.arrived_on")
+    assert late.count() > 20
+
+
+def test_arguments(spark):
+    a = table(spark, [], "a")
+    with pytest.raises(ValueError, match="no sources"):
+        known_on({}, "2020-01-01")
+    with pytest.raises(ValueError, match="more than one source: a"):
+        known_on({"x": a, "y": a}, "2020-01-01")
+    with pytest.raises(ValueError, match="arrived_on"):
+        known_on({"x": a.drop("arrived_on")}, "2020-01-01")
+    with pytest.raises(ValueError, match="claim_num"):
+        known_on({"x": a.withColumnRenamed("claim_num", "n").withColumn("c", F.lit(1))},
+                 "2020-01-01")
+    assert known_on({"x": a}, "2020-01-01").collect() == []

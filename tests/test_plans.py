@@ -12,7 +12,9 @@ from claimspan.sources.csv_inputs import analyst_parameters, diagnosis_parameter
 from claimspan.sources.tables import conform, read_stage, write_stage
 from support import ROOT, SF
 from harness import derived
-from harness.registry import CLAIMS_QUERIES, PERIOD, QUERIES, TODAY, shared_path
+from harness.registry import (
+    CLAIMS_QUERIES, CUBE_QUERIES, PERIOD, QUERIES, TODAY, shared_path,
+)
 
 HOTSPOT_LIMIT = 8000
 
@@ -132,7 +134,7 @@ def test_queries_without_customer_columns_do_not_read_customers(spark, static_pl
 
 # These write or collect something by what they are.
 NOT_LAZY = {"param_analyst", "param_diagnosis", "ingest_claims_raw", "stage_roundtrip",
-            "stage_append", "inventory_history", "export_csv", "export_json"}
+            "stage_append", "inventory_history", "export_csv", "export_json", *CUBE_QUERIES}
 
 
 def test_asking_for_a_query_runs_nothing(spark):
