@@ -21,7 +21,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents").select("doc_id", "text"),
-                        table(spark, sf_dir, "labels")).drop("text")
+                        table(spark, sf_dir, "labels"), keep_text=False)
 
 
 def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
