@@ -1,21 +1,27 @@
 """Main text of web pages: a tree-structured graphical model over each page's blocks.
 
-The block elements of a page form a tree. Each has one of three states: OUTER (a frame around
-everything), CONTENT or BOILERPLATE. Node potentials come from its tag, class and id words,
-link share and text length; parent-child potentials say which states nest in which. Messages
-passed up to the root and down again (sum-product) give exact marginals; the text of blocks
-whose CONTENT marginal is at least 0.5 is the page's text.
+The block elements of a page, and the texts that stand beside blocks in a container, form a
+tree. Each node has one of three states: OUTER (a frame around everything), CONTENT or
+BOILERPLATE. Node potentials come from its tag, class and id names, link share and text length;
+parent-child potentials say which states nest in which. Messages passed up to the root and
+down again (sum-product) give exact marginals; the text of nodes whose CONTENT marginal is at
+least 0.5 is the page's text.
 
 Both kinds of potentials are learned by counting on labelled pages: those that mark their
-article (<article> or <main>), at most TRAIN_PAGES of them, picked by hash. Words that name a
-part of a page by custom (HINTS) count in addition, so that parts which no labelled page
-shows are told, too. Counting and extraction run in Spark tasks over batches of pages; only
-the counts of the bounded sample reach the driver.
+article (<article> or <main>), at most TRAIN_PAGES of them, picked by hash. Blocks around the
+mark are OUTER, in it CONTENT, all others BOILERPLATE; parts of the article that are named as
+something else are not counted. The mark itself is no learned feature, so pages without one are
+judged by the same lengths, links, tags and names. To these come bounded priors: tags with a
+meaning (nav, article), names that say what a part is by custom, and long or linked text. An
+element's tag outweighs its names, and a name counts less if it is only a part of a longer one.
+Counting and extraction run in Spark tasks over batches of pages; only the counts of the
+bounded sample reach the driver. Time to read a page is linear in its length.
 
 Defined results: null or empty html, and pages without content, have an empty text. Unclosed,
-misnested or unknown tags are tolerated. White space is what Python's str.split() splits at; a
-<br> counts as white space. Repeated pages each get their row. Extra columns are left out.
-Without any labelled page the hints and the prior decide alone.
+misnested or unknown tags are tolerated; a tag that the page's end cuts off is left out, and
+when a quote is never closed, later tags end at their first ">". White space is what Python's
+str.split() splits at; a <br> counts as white space. Repeated pages each get their row. Extra
+columns are left out. Without any labelled page the priors decide alone.
 """
 
 from __future__ import annotations
@@ -25,6 +31,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,19 +44,25 @@ from claimspan.llm.common import with_columns
 TRAIN_PAGES = 4_000
 OUTER, CONTENT, BOILERPLATE = 0, 1, 2
 
-# HTML's elements without content, with text that is not shown, and inline.
+# HTML's elements without content, with text that is not shown, inline, and
+# containers, whose tag says nothing and whose own texts are nodes of their own.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style title textarea noscript template svg iframe object math".split())
+HIDDEN = set("script style title textarea noscript template svg iframe".split())
 INLINE = set(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q "
-    "rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+    "a abbr acronym audio b bdi bdo big canvas cite code data del dfn em font i ins kbd label "
+    "mark meter nobr object output picture progress q rp rt ruby s samp small span strike strong "
+    "sub sup time tt u var video wbr annotation math menclose mfrac mi mn mo mover mroot mrow "
+    "ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover "
+    "semantics".split())
+CONTAINER = set("#page html body div section td article main center".split())
 # An open element of the first kind is closed by the start of any of the others.
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option", "optgroup"},
     "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
-    "th": {"td", "th", "tr", "tbody", "tfoot"},
+    "th": {"td", "th", "tr", "tbody", "tfoot"}, "thead": {"tbody", "tfoot"},
+    "tbody": {"tbody", "tfoot"},
 }
-# Words that name the parts of a page by custom.
+# Names of the parts of a page by custom, and words that say nothing beside them.
 HINTS = {
     BOILERPLATE: set(
         "nav navigation menu navbar breadcrumb breadcrumbs header masthead topbar footer foot "
@@ -60,109 +73,157 @@ HINTS = {
         "button select copyright legal pagination pager tags toolbar skip".split()),
     CONTENT: set("article main content post entry story".split()),
 }
-HINT = 8.0
-#: The learned part of a node's potentials differs by at most this much between states.
-LEARNED = 2.0
+PLAIN = set(
+    "area bar block body bottom box buttons container group inner items left links list outer "
+    "page panel posts primary right secondary section site top wrap wrapper".split())
+MARKS = {"article", "main"}
+#: Log-odds for a tag with a meaning, a name by custom, and a word within a longer name.
+MARK, TAG, NAME, WORD = 10.0, 6.0, 4.0, 1.0
+#: Observations that a feature's share of states is drawn to the share of all nodes by.
+SMOOTH = 20.0
 #: Least log P(state of child | state of parent), parents by row: an article may hold parts
 #: that don't belong to it, but nothing is content inside boilerplate.
 FLOOR = np.array([[-3.0, -3.0, -3.0], [-9.0, -3.0, -1.0], [-30.0, -30.0, -3.0]])
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>",
-    re.S)
-_NAMING = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*+)")
+_ATTRIBUTE = re.compile(
+    r"[\s/]*+([^\s/>=][^\s/>=]*+)?(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*+)))?+")
 
 
 @dataclass
 class Page:
-    """Block elements in page order, and the text blocks that they hold."""
+    """Block elements and texts in page order, and the text blocks that they hold."""
 
     parent: list[int] = field(default_factory=list)
     depth: list[int] = field(default_factory=list)
     tag: list[str] = field(default_factory=list)
-    words: list[frozenset[str]] = field(default_factory=list)
+    names: list[tuple[str, ...]] = field(default_factory=list)
     linked: list[int] = field(default_factory=list)
     length: list[int] = field(default_factory=list)
     blocks: list[tuple[int, str]] = field(default_factory=list)
+    #: Stands in a marked article; stands inside a part that is named as boilerplate.
+    marked: list[bool] = field(default_factory=list)
+    told: list[bool] = field(default_factory=list)
+
+
+def tokens(source: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, tag or text, names): "text", "open", "shut" or "alone", in one pass."""
+    at, end, last, quoted = 0, len(source), source.rfind(">"), True
+    while at < end:
+        begin = source.find("<", at)
+        if begin < 0:
+            begin = end
+        if begin > at:
+            yield "text", source[at:begin], ""
+        if begin == end:
+            return
+        if source.startswith("<!--", begin):
+            stop = source.find("-->", begin + 4)
+            at = end if stop < 0 else stop + 3
+            continue
+        found = _TAG.match(source, begin)
+        if not found:
+            stop = source.find(">", begin) if source[begin + 1:begin + 2] in ("!", "?") else -2
+            if stop == -2:
+                yield "text", "<", ""
+            at = begin + 1 if stop == -2 else end if stop < 0 else stop + 1
+            continue
+        if begin > last:
+            return
+        at, names = found.end(), []
+        if quoted:
+            while at < end and source[at] != ">":
+                part = _ATTRIBUTE.match(source, at)
+                if part[1] and part[1].lower() in ("class", "id", "role"):
+                    names.append(part[2] or part[3] or part[4] or "")
+                at = max(part.end(), at + 1)
+            if at >= end:  # a quote that is never closed
+                quoted, at, names = False, found.end(), []
+        if not quoted:
+            at = source.find(">", at)
+        kind = ("shut" if source[begin + 1] == "/" else
+                "alone" if source[at - 1] == "/" else "open")
+        tag = found[1].lower()
+        at += 1
+        yield kind, tag, " ".join(names)
+        if tag in HIDDEN and kind == "open":
+            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(source, at)
+            at = stop.start() if stop else end
 
 
 def parse(source: str) -> Page:
     page = Page()
 
-    def add(tag: str, names: str, parent: int) -> int:
+    def add(tag: str, names: tuple[str, ...], parent: int) -> int:
+        marked = parent >= 0 and page.marked[parent]
         page.parent.append(parent)
         page.depth.append(page.depth[parent] + 1 if parent >= 0 else 0)
-        page.tag.append(tag)
-        page.words.append(frozenset(w for w in re.split("[^a-z]+", names.lower()) if w))
+        page.tag.append("header in article" if marked and tag == "header" else tag)
+        page.names.append(names)
         page.linked.append(0)
         page.length.append(0)
+        page.marked.append(marked or tag in MARKS)
+        page.told.append(parent >= 0 and (page.told[parent] or is_told(page, parent)))
         return len(page.tag) - 1
 
-    add("#page", "", -1)
-    stack: list[tuple[str, int]] = [("#page", 0)]  # open elements and their blocks
+    # Open blocks: tag, node, and the inline elements that are open in them.
+    frames: list[tuple[str, int, list[str]]] = [("#page", add("#page", (), -1), [])]
+    opened: Counter = Counter()  # open blocks by tag
     held: list[str] = []
-    links = 0
+    links = in_links = 0
 
     def flush() -> None:
+        nonlocal in_links
         text = " ".join(html.unescape("".join(held)).split())
         held.clear()
         if text:
-            page.blocks.append((stack[-1][1], text))
-            page.length[stack[-1][1]] += len(text)
-
-    def shut(depth: int) -> None:
-        """Close all open elements from this place in the stack on."""
+            node = frames[-1][1]
+            if page.tag[node] in CONTAINER:
+                node = add("#text", (), node)
+            page.blocks.append((node, text))
+            page.length[node] += len(text)
+            page.linked[node] += in_links
+        in_links = 0
+
+    def shut() -> None:
         nonlocal links
-        if any(name not in INLINE for name, _ in stack[depth:]):
-            flush()
-        links -= sum(name == "a" for name, _ in stack[depth:])
-        del stack[depth:]
+        flush()
+        tag, _, inline = frames.pop()
+        opened[tag] -= 1
+        links -= inline.count("a")
 
-    at, end = 0, len(source)
-    while at < end:
-        token = _TOKEN.search(source, at)
-        text = source[at:token.start() if token else end]
-        if text:
-            held.append(text)
+    for kind, tag, names in tokens(source):
+        if kind == "text":
+            held.append(tag)
             if links > 0:
-                page.linked[stack[-1][1]] += len(text)
-        if not token:
-            break
-        at = token.end()
-        closing, tag, rest = token.groups()
-        if not tag:
-            continue
-        tag = tag.lower()
-        if closing:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == tag:
-                    shut(depth)
-                    break
-                if tag in INLINE and stack[depth][0] not in INLINE:
-                    break
-            continue
-        if tag in HIDDEN:
-            if not rest.endswith("/"):
-                stop = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(source, at)
-                at = stop.end() if stop else end
-            continue
-        if tag in VOID:
+                in_links += len(tag)
+        elif tag in VOID:
             held.append(" ")
-            continue
-        names = " ".join(filter(None, (g for m in _NAMING.findall(rest) for g in m)))
-        if tag in INLINE:
-            stack.append((tag, stack[-1][1]))
-            links += tag == "a"
-            continue
-        flush()
-        for depth in range(len(stack) - 1, 0, -1):
-            name = stack[depth][0]
-            if name == "p" or tag in CLOSED_BY.get(name, ()):
-                shut(depth)
-                break
-            if name not in INLINE and tag not in ("td", "th", "tr", "tbody", "tfoot"):
-                break
-        stack.append((tag, add(tag, names, stack[-1][1])))
+        elif tag in HIDDEN:
+            pass
+        elif tag in INLINE:
+            inline = frames[-1][2]
+            if kind == "open":
+                inline.append(tag)
+                links += tag == "a"
+            elif kind == "shut" and tag in inline[-64:]:
+                while (closed := inline.pop()) != tag:
+                    links -= closed == "a"
+                links -= tag == "a"
+        elif kind == "shut":
+            if opened[tag] > 0:
+                while frames[-1][0] != tag:
+                    shut()
+                shut()
+        else:
+            flush()
+            while len(frames) > 1 and (frames[-1][0] == "p"
+                                       or tag in CLOSED_BY.get(frames[-1][0], ())):
+                shut()
+            node = add(tag, tuple(sorted(set(names.lower().split()))), frames[-1][1])
+            if kind == "open":
+                frames.append((tag, node, []))
+                opened[tag] += 1
     flush()
     return page
 
@@ -170,36 +231,59 @@ def parse(source: str) -> Page:
 # ---- potentials -----------------------------------------------------------------------------
 
 
+@lru_cache(100_000)
+def hints(tag: str, names: tuple[str, ...]) -> tuple[tuple[float, float, float], bool]:
+    """Prior potentials of an element's tag and names; whether they tell it as boilerplate."""
+    if tag in ("#page", "html", "body"):
+        return (MARK, 0.0, 0.0), False
+    if tag in MARKS:
+        return (0.0, MARK, 0.0), False
+    content = boilerplate = 0.0
+    for name in names:
+        words = {word for word in re.split("[^a-z]+", name) if word}
+        bad, good = words & HINTS[BOILERPLATE], words & HINTS[CONTENT]
+        if bad and not words - bad - good - PLAIN and not (good and bad == {"header"}):
+            boilerplate = max(boilerplate, NAME)
+        elif bad and not good:
+            boilerplate = max(boilerplate, WORD)
+        elif good and not bad:
+            content = max(content, WORD if words - good - PLAIN else NAME)
+    if tag in HINTS[BOILERPLATE]:
+        boilerplate = TAG
+    return (0.0, content, boilerplate), boilerplate - content >= NAME
+
+
+def is_told(page: Page, i: int) -> bool:
+    return hints(page.tag[i], page.names[i])[1]
+
+
 def features(page: Page, i: int) -> list[str]:
-    out = [f"tag:{page.tag[i]}"]
+    """What is learned: neither the mark nor the tag of a container is."""
+    out = [] if page.tag[i] in CONTAINER or page.tag[i] == "#text" else [f"tag:{page.tag[i]}"]
     if page.length[i]:
-        out += [f"length:{page.length[i].bit_length()}",
-                f"links:{min(3, 4 * page.linked[i] // page.length[i])}"]
-    return out + [f"word:{word}" for word in page.words[i]]
+        out += [f"length:{page.length[i].bit_length()}", f"links:{share(page, i)}"]
+    return out + [f"name:{name}" for name in page.names[i]]
 
 
-def hint(page: Page, i: int) -> int | None:
-    named = page.words[i] | {page.tag[i]}
-    return next((state for state in (BOILERPLATE, CONTENT) if named & HINTS[state]), None)
+def share(page: Page, i: int) -> int:
+    """Quarters of a text that are links."""
+    return min(3, 4 * page.linked[i] // page.length[i])
 
 
 def label(page: Page) -> list[int] | None:
-    """States of a page that marks its article; None for other pages."""
-    marked = [i for i, tag in enumerate(page.tag) if tag in ("article", "main")]
-    if not marked:
+    """States of a page that marks its article, -1 if not known; None for other pages."""
+    marks = [i for i, tag in enumerate(page.tag) if tag in MARKS]
+    if not marks:
         return None
     states = [BOILERPLATE] * len(page.tag)
-    for i in marked:
-        states[i] = CONTENT
+    for i in marks:
         up = page.parent[i]
         while up >= 0 and states[up] == BOILERPLATE:
             states[up] = OUTER
             up = page.parent[up]
-    for i, up in enumerate(page.parent):
-        if up >= 0 and states[i] != OUTER:
-            told = hint(page, i)
-            if states[up] == CONTENT:
-                states[i] = BOILERPLATE if told == BOILERPLATE else CONTENT
+    for i, marked in enumerate(page.marked):
+        if marked:
+            states[i] = -1 if page.told[i] or is_told(page, i) else CONTENT
     return states
 
 
@@ -212,16 +296,16 @@ def count(texts: list[bytes | None]) -> Counter:
     found: Counter = Counter()
     for text in texts:
         page = parse(text.decode("utf-8", "replace")) if text else None
-        states = label(page) if page else None
-        told: list[bool] = []  # stands inside a part that a hint has told as boilerplate
-        for i, state in enumerate(states or ()):
+        states = (label(page) if page else None) or []
+        for i, state in enumerate(states):
+            if state < 0:
+                continue
             up = page.parent[i]
-            told.append(up >= 0 and (told[up] or hint(page, up) == BOILERPLATE))
-            if up >= 0:
+            if up >= 0 and states[up] >= 0:
                 found["#edge", 3 * states[up] + state] += 1
-            found["#links" if told[i] else "#state", state] += 1
+            found["#links" if page.told[i] else "#state", state] += 1
             for name in features(page, i):
-                if not told[i] or name.startswith("links:"):
+                if not page.told[i] or name.startswith("links:"):
                     found[name, state] += 1
     return found
 
@@ -232,25 +316,24 @@ class Model:
     edges: np.ndarray  # log P(state of child | state of parent)
 
     def unary(self, page: Page) -> np.ndarray:
+        """Inside a part that is named, only names and links count: its length says nothing."""
         out = np.zeros((len(page.tag), 3))
         for i in range(len(page.tag)):
+            out[i] = hints(page.tag[i], page.names[i])[0]
+            if page.told[i]:
+                continue
             for name in features(page, i):
                 if (weight := self.weights.get(name)) is not None:
                     out[i] += weight
-        out -= out.mean(axis=1, keepdims=True)
-        spread = np.ptp(out, axis=1, keepdims=True)
-        out *= np.minimum(1, LEARNED / np.maximum(spread, 1e-9))
-        for i in range(len(page.tag)):
-            if page.tag[i] in ("#page", "html", "body"):
-                out[i, OUTER] += HINT
-            elif (told := hint(page, i)) is not None:
-                out[i, told] += HINT
+            if page.length[i]:
+                out[i, CONTENT] += min(2.0, max(-0.5, np.log2(page.length[i] / 40)))
+                out[i, BOILERPLATE] += (0.0, 0.0, 1.0, 3.0)[share(page, i)]
         return out
 
 
 def fit(pages: DataFrame, limit: int = TRAIN_PAGES) -> Model:
-    """Counts of at most `limit` labelled pages, turned into potentials."""
-    key = F.xxhash64("page_id", "url")
+    """Counts of at most `limit` different labelled pages, turned into potentials."""
+    key = F.xxhash64("page_id", "url", "html")
     marks = F.col("html").rlike("(?i)<(article|main)[ >]")
     order = pages.where(marks).select(key.alias("h")).distinct().orderBy("h").limit(limit)
     bound = order.agg(F.max("h")).first()[0]
@@ -282,12 +365,16 @@ def model_of(counts: dict[tuple[str, int], int]) -> Model:
     seen = np.array([[counts.get(("#edge", 3 * a + b), 0) for b in range(3)]
                      for a in range(3)])
     edges = np.log((prior + seen) / (prior + seen).sum(axis=1, keepdims=True))
+    # Shares again after the floor: nodes without evidence must not favour a parent's state.
     edges = np.maximum(edges, FLOOR)
+    edges -= np.log(np.exp(edges).sum(axis=1, keepdims=True))
     weights = {}
     for name in {what for what, _ in counts if not what.startswith("#")}:
         each = np.array([counts.get((name, s), 0) for s in range(3)])
-        of = linked if name.startswith("links:") else states
-        weights[name] = np.log((each + 1) / (of + 2))
+        of = (linked if name.startswith("links:") else states) + 1.0
+        base = of / of.sum()
+        # How much likelier a state is with the feature; none for a feature seldom seen.
+        weights[name] = np.log((each + SMOOTH * base) / (each.sum() + SMOOTH) / base)
     return Model(weights, edges)
 
 

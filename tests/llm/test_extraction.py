@@ -1,7 +1,9 @@
 import itertools
 import re
+import time
 
 import numpy as np
+import pytest
 
 from claimspan.llm import extraction as e
 
@@ -63,3 +65,72 @@ def test_parts_of_other_pages(spark):
     assert text[2] == TEXT and text[3] == TEXT
     assert text[4] == text[5] == text[8] == "" and text[7].count("x") == 3000
     assert e.main_text(pages.limit(0)).collect() == []
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    """Learned from the given pages, which all mark their article."""
+    return e.fit(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+
+
+def text_of(source, model):
+    return e.extract([source.encode()], model)[0]
+
+
+SENTENCE = "A quiet sentence about the weather of last week, and how it changed. "
+LONG = (SENTENCE * 4).strip()
+MENU = "<nav><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></nav>"
+
+
+@pytest.mark.parametrize("source, want", [
+    (f"<body><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></body>", "\n".join([LONG] * 3)),
+    (f"<div><h1>A headline</h1><p>{LONG}</p></div>", f"A headline\n{LONG}"),
+    (f"{MENU}<div><p>{SENTENCE * 30}</p></div>", (SENTENCE * 30).strip()),
+    (f"<div><p>{SENTENCE * 40}</p></div>", (SENTENCE * 40).strip()),
+    (f"<body>{MENU}{LONG}<p>{LONG}</p></body>", f"{LONG}\n{LONG}"),
+    (f'<body><div class="top"><ul><li><a href=x>Home</a><li><a href=y>News</a></ul></div>'
+     f"<div><p>{LONG}</p><p>{LONG}</p></div></body>", f"{LONG}\n{LONG}"),
+])
+def test_pages_without_a_mark(model, source, want):
+    assert text_of(source, model) == want
+
+
+@pytest.mark.parametrize("source, want", [
+    (f'<article class="post tags-news banner-none"><p>{LONG}</p></article>', LONG),
+    (f'<article><p>{LONG}</p><section id="social-history"><p>{LONG}</p></section>'
+     f'<div class="form-factor"><p>{LONG}</p></div></article>', "\n".join([LONG] * 3)),
+    (f"<article><header><h1>A headline</h1></header><p>{LONG}</p></article>",
+     f"A headline\n{LONG}"),
+    (f"<article><p>{LONG}</p><p>So <math><mi>x</mi><mo>=</mo></math>"
+     "<object>1</object>.</p></article>", f"{LONG}\nSo x=1."),
+    (f'<article><p>{LONG}</p><div id="comments">{"<p>" + LONG + "</p>"}</div></article>', LONG),
+    (f'<div class="post"><p>{LONG}</p></div><div class="comment-list">'
+     + f"<p>{LONG} I agree.</p>" * 40 + "</div>", LONG),
+    (f"<body>{MENU}<header><p>{LONG}</p></header><main><p>{LONG}</p></main>"
+     f"<footer><p>{LONG}</p></footer></body>", LONG),
+])
+def test_names_and_tags(model, source, want):
+    assert text_of(source, model) == want
+
+
+@pytest.mark.parametrize("source, want", [
+    ("<article><p title=it's>Hello</p></article>", "Hello"),
+    ('<article><p title="a > b">Hello</p></article>', "Hello"),
+    ('<article><p title="a>Hello</p><p>there</p></article>', "Hello\nthere"),
+    ("<article><p>1 < 2 &lt; 3 <!-- <p>no</p> --><!DOCTYPE x>yes</p></article>", "1 < 2 < 3 yes"),
+    ("<article><script>a</b</script >x</article>", "x"),
+    ("<article><p>one<b>two<p>three</b></article>", "onetwo\nthree"),
+    ("<article><p>Hello</p><p clas", "Hello"),
+])
+def test_markup_is_no_text(model, source, want):
+    assert text_of(source, model) == want
+
+
+@pytest.mark.parametrize("unit", [
+    "<a ", "<!--", '"', "<", "</", "</x>", "<b>", "<div>", "<td>", "<a x='>", '<a x=">"', "<!",
+    "<tr><div>", "<u><div><i></u>", "<a =", "&amp", "<script>", "<li><b></i>"])
+def test_time_is_linear(model, unit):
+    """A megabyte of each; the nested ones take their time in levels of messages."""
+    begin = time.monotonic()
+    e.parse("<p>x" + unit * (1_000_000 // len(unit)) + ">")
+    assert time.monotonic() - begin < 20
