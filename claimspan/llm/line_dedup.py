@@ -12,12 +12,14 @@ exact repeats, from `exact_chars` code points on. The query and the pipeline ask
    number and content; each line probes the indexes of its own and EDITS shorter lengths with
    those substrings only that can still be aligned with the segment within the edits left on
    either side.
-3. Index entries that no probe of another line meets are dropped before any text is moved. The
-   others are verified by a semi-join, which keeps no pairs and stops at the first hit, with a
-   banded bit-parallel edit distance behind two cheap necessary tests.
+3. Index entries that no probe of another line meets are dropped before any text is moved; the
+   few that are left are stored. They are verified by a semi-join, which keeps no pairs and
+   stops at the first hit, with a banded bit-parallel edit distance behind three cheap
+   necessary tests: the order, the parities of characters, and a second, finer split into
+   segments, of which only as many as there are edits may be missing near their place.
 
-Everything is DataFrame functions. Documents are shuffled by their key once; both their uses
-share that exchange.
+Everything is DataFrame functions. White space around a line is space and the ASCII controls
+tab to carriage return.
 
 Defined results: null and empty texts stay as they are, and so do lines that are blank. A
 document may end up empty, but stays. Documents with a null doc_id come last in order. Rows
@@ -36,6 +38,8 @@ from claimspan.llm.common import stored
 
 EDITS = 2
 MIN_CHARS = 16
+#: Segments of the second split, for each edit.
+FINE = 3
 
 LAST = 9223372036854775807
 
@@ -50,6 +54,10 @@ def _order(doc: str = "doc_id", at: str = "__at") -> Column:
     return (high * F.lit(1 << 32).cast("decimal(11,0)") + F.col(at)).cast("decimal(38,0)")
 
 
+def _trimmed(line: Column | str) -> Column:
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+
+
 def _long_enough(trimmed: Column, least: int) -> Column:
     """Whether a line has `least` code points; short ones must not be blank."""
     long = F.length(trimmed) >= MIN_CHARS
@@ -62,7 +70,7 @@ def _lines(keyed: DataFrame, *more: str, least: int = MIN_CHARS) -> DataFrame:
     """The lines that are long enough, trimmed, with their places."""
     exploded = keyed.select("__row", "doc_id", *more,
                             F.posexplode(F.split("text", "\n")).alias("__at", "__line"))
-    return exploded.withColumn("__line", F.trim("__line")).where(
+    return exploded.withColumn("__line", _trimmed("__line")).where(
         _long_enough(F.col("__line"), least))
 
 
@@ -122,6 +130,20 @@ def parity(line: Column) -> Column:
         F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(c) % 64)))
 
 
+def alike(a: Column, b: Column, edits: int = EDITS) -> Column:
+    """Whether enough of a's segments stand in b near their place, for `edits` edits.
+
+    An edit spoils one segment at most and moves the others by one place.
+    """
+    count = FINE * edits
+    size = F.floor(F.length(a) / count).cast("int")
+    found = [(F.instr(F.substring(b, F.greatest(size * i + (1 - edits), F.lit(1)),
+                                  size + 2 * edits),
+                      F.substring(a, size * i + 1, size)) > 0).cast("int")
+             for i in range(count)]
+    return sum(found[1:], found[0]) >= count - edits
+
+
 def within(a: Column, b: Column, edits: int = EDITS) -> Column:
     """Whether the edit distance of two texts is at most `edits`, bit-parallel in a band.
 
@@ -168,26 +190,21 @@ def _stays(gone: str, at: Column) -> Column:
     return F.coalesce(~F.array_contains(gone, at), F.lit(True))
 
 
-def near_repeats(keyed: DataFrame, exact: DataFrame, edits: int = EDITS) -> DataFrame:
-    """__row, doc_id, __at of lines with an earlier near line; exact repeats are left out."""
-    # A test that is always true and names every column, so that this use of the documents
-    # reads the same columns as the last one and shares its exchange.
-    every = F.concat_ws("", *[F.hash(F.col(f"`{c}`")).cast("string") for c in keyed.columns],
-                        F.size("__gone").cast("string"))
-    first = _joined(keyed, _gone(exact, "__gone")).where(F.length(every) >= 0)
+def near_repeats(first: DataFrame, edits: int = EDITS) -> DataFrame:
+    """__row, doc_id, __at of lines with an earlier near line. `first` holds the documents'
+    __row, doc_id, text and, in __gone, the places of exact repeats, which are left out."""
     lines = _lines(first, "__gone").where(_stays("__gone", F.col("__at")))
     key = Window.partitionBy("key")
     one = F.xxhash64("__row", "__at")
-    shared = (entries(lines, edits).select("key", "probe", "__row", "__at")
-              .withColumn("lo", F.min("probe").over(key))
-              .withColumn("hi", F.max("probe").over(key))
-              .withColumn("a", F.min(one).over(key)).withColumn("b", F.max(one).over(key))
-              .where("lo < hi and a < b").select("key", "probe", "__row", "__at")
-              .repartition("__row"))
-    # The least key is named for the same reason: both uses of `shared` read one exchange.
-    wanted = shared.groupBy(F.col("__row").alias("__w_row")).agg(
-        F.collect_set("__at").alias("__wanted"),
-        F.min(F.xxhash64("key", "probe")).alias("__least")).where("__least is not null")
+    shared = stored(entries(lines, edits).select("key", "probe", "__row", "__at")
+                    .withColumn("lo", F.min("probe").over(key))
+                    .withColumn("hi", F.max("probe").over(key))
+                    .withColumn("a", F.min(one).over(key)).withColumn("b", F.max(one).over(key))
+                    .where("lo < hi and a < b").select("key", "probe", "__row", "__at"),
+                    "shared_segments")
+    # A table of known size, so that Spark needn't shuffle the documents while it is small.
+    wanted = stored(shared.groupBy(F.col("__row").alias("__w_row")).agg(
+        F.collect_set("__at").alias("__wanted")), "wanted_lines")
     texts = _lines(first.join(wanted, F.col("__row") == F.col("__w_row")), "__wanted").where(
         F.array_contains("__wanted", F.col("__at"))).select(
         F.col("__row").alias("t_row"), F.col("__at").alias("t_at"), "doc_id", "__line",
@@ -199,10 +216,13 @@ def near_repeats(keyed: DataFrame, exact: DataFrame, edits: int = EDITS) -> Data
     right = full.select(F.col("key").alias("r_key"), (1 - F.col("probe")).alias("r_probe"),
                         F.col("__line").alias("r_line"), F.col("__order").alias("r_order"),
                         F.col("__parity").alias("r_parity"))
+    # Of two lines of one length both probe; the later one's probe is enough.
     likely = (F.col("r_order") < F.col("__order")) & (F.bit_count(
-        F.col("__parity").bitwiseXOR(F.col("r_parity"))) <= 2 * edits)
+        F.col("__parity").bitwiseXOR(F.col("r_parity"))) <= 2 * edits) & (
+        (F.col("probe") == 1) | (F.length("__line") < F.length("r_line")))
     return left.join(right, (F.col("key") == F.col("r_key"))
                      & (F.col("probe") == F.col("r_probe")) & likely
+                     & alike(F.col("__line"), F.col("r_line"), edits)
                      & within(F.col("__line"), F.col("r_line"), edits), "left_semi").select(
         "__row", "doc_id", "__at").distinct()
 
@@ -215,12 +235,16 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, counts: bool = False,
         raise ValueError("edits must be positive")
     keyed = _keyed(docs)
     exact = stored(exact_repeats(keyed, exact_chars), "exact_lines")
-    gone = _gone(exact.unionByName(near_repeats(keyed, exact, edits)), "__gone")
-    joined = _joined(keyed, gone)
+    # The one join that always shuffles the documents; all later steps read its result.
+    first = stored(_joined(keyed, _gone(exact, "__gone")).drop("__g_row"), "exact_deduped")
+    near = stored(_gone(near_repeats(first, edits), "__near"), "near_lines")
+    joined = _joined(first, near).withColumn("__gone", F.when(
+        F.col("__near").isNull(), F.col("__gone")).otherwise(F.array_union(
+            "__near", F.coalesce("__gone", F.array().cast("array<int>")))))
     kept = F.filter(F.split("text", "\n"), lambda line, at: _stays("__gone", at))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     told = [F.coalesce(F.size(F.filter(F.split("text", "\n"), lambda line: _long_enough(
-                F.trim(line), exact_chars))), F.lit(0)).cast("long").alias("n_lines"),
+                _trimmed(line), exact_chars))), F.lit(0)).cast("long").alias("n_lines"),
             F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).cast("long")
             .alias("n_removed")] if counts else []
     return joined.select(*[text.alias("text") if c == "text" else F.col(f"`{c}`")

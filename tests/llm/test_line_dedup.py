@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from claimspan.llm import line_dedup as l
 
+SPACE = " \t\n\x0b\x0c\r"
+
 
 def distance(a, b, most=2):
     """Edit distance by a band of rows; anything over `most` counts as most + 1."""
@@ -26,9 +28,9 @@ def brute(docs, edits=2):
     lines = []
     for doc, text in set(docs):
         for at, line in enumerate((text or "").split("\n")):
-            if len(line.strip(" ")) >= l.MIN_CHARS:
+            if len(line.strip(SPACE)) >= l.MIN_CHARS:
                 key = (doc if doc is not None else l.LAST, at)
-                lines.append((key, line.strip(" "), (doc, text), at))
+                lines.append((key, line.strip(SPACE), (doc, text), at))
     lines.sort(key=lambda x: x[0])
     gone, groups, by_length = set(), {}, {}
     for key, line, row, at in lines:
@@ -110,12 +112,12 @@ def test_whole_table(documents):
     got = dict(result(whole))
     for doc, text in sorted(rows):
         for line in text.split("\n"):
-            if len(line.strip(" ")) >= l.MIN_CHARS:
-                exact.setdefault(line.strip(" "), doc)
+            if len(line.strip(SPACE)) >= l.MIN_CHARS:
+                exact.setdefault(line.strip(SPACE), doc)
     for doc, text in rows:  # first places stay, or a near line stood before
         for line in got[doc].split("\n"):
-            if len(line.strip(" ")) >= l.MIN_CHARS:
-                assert exact[line.strip(" ")] == doc
+            if len(line.strip(SPACE)) >= l.MIN_CHARS:
+                assert exact[line.strip(SPACE)] == doc
 
 
 def test_short_lines_go_as_exact_repeats(make):
@@ -133,7 +135,7 @@ def test_query_removes_short_repeats(spark, documents):
     seen, expected = set(), 0
     for r in documents.orderBy("doc_id").collect():
         for line in (r.text or "").split("\n"):
-            line = line.strip(" ")
+            line = line.strip(SPACE)
             if line.strip() and len(line) < l.MIN_CHARS:
                 expected += line in seen
                 seen.add(line)
@@ -141,3 +143,28 @@ def test_query_removes_short_repeats(spark, documents):
     every = QUERIES["op7_line_dedup"](spark, "/root/testdata/sf0.001").agg(
         F.sum("n_removed")).first()[0]
     assert expected > 0 and every == long + expected
+
+
+def test_white_space_around_lines(make):
+    """Tabs and carriage returns tell no lines apart, and stay where a line stays."""
+    docs = make([(1, "Yes.\r\nA line of its own, long enough\t"),
+                 (2, "Yes.\nno\n\tA line of its own, long enough\r")])
+    out = {r.doc_id: r.text for r in l.dedup_lines(docs, exact_chars=1).collect()}
+    assert out == {1: "Yes.\r\nA line of its own, long enough\t", 2: "no"}
+
+
+def test_alike_is_necessary(spark):
+    """The test before the verification holds for all texts within the edits."""
+    rng = random.Random(8)
+    pairs = []
+    for _ in range(600):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(16, 40)))
+        b = list(a)
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(b))
+            b[at:at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "c"])
+        pairs.append((a, "".join(b)))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for edits in (1, 2, 3):
+        for r in df.withColumn("w", l.alike(F.col("a"), F.col("b"), edits)).collect():
+            assert r.w or distance(r.a, r.b, edits) > edits, (r, edits)
