@@ -41,6 +41,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_by(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Like `stored`, in buckets of a column, one for each shuffle partition: joins by it then
+    read the buckets as they lie and move the other side alone. The data lie in the shared
+    folder; the catalog knows them only while they are opened."""
+    spark = df.sparkSession
+    entry = f"claimspan_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (df.write.format("parquet").bucketBy(buckets, key)
+     .option("path", shared_path(spark, name)).saveAsTable(entry))
+    found = spark.table(entry).select(*[F.col(f"`{column}`") for column in df.columns])
+    spark.sql(f"DROP TABLE {entry}")
+    return found
+
+
 def slices(batch: pa.RecordBatch, column: str = TEXT,
            size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows of about `size` bytes of text; a longer text is one run."""

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from claimspan.llm.common import stored
+from claimspan.llm.common import stored, stored_by
 
 EDITS = 2
 MIN_CHARS = 16
@@ -202,7 +202,6 @@ def near_repeats(first: DataFrame, edits: int = EDITS) -> DataFrame:
                     .withColumn("a", F.min(one).over(key)).withColumn("b", F.max(one).over(key))
                     .where("lo < hi and a < b").select("key", "probe", "__row", "__at"),
                     "shared_segments")
-    # A table of known size, so that Spark needn't shuffle the documents while it is small.
     wanted = stored(shared.groupBy(F.col("__row").alias("__w_row")).agg(
         F.collect_set("__at").alias("__wanted")), "wanted_lines")
     texts = _lines(first.join(wanted, F.col("__row") == F.col("__w_row")), "__wanted").where(
@@ -235,8 +234,10 @@ def dedup_lines(docs: DataFrame, edits: int = EDITS, counts: bool = False,
         raise ValueError("edits must be positive")
     keyed = _keyed(docs)
     exact = stored(exact_repeats(keyed, exact_chars), "exact_lines")
-    # The one join that always shuffles the documents; all later steps read its result.
-    first = stored(_joined(keyed, _gone(exact, "__gone")).drop("__g_row"), "exact_deduped")
+    # The one join that shuffles the documents: they are left in buckets of its key, which the
+    # later joins by the same key read as they lie.
+    first = stored_by(_joined(keyed, _gone(exact, "__gone")).drop("__g_row"), "exact_deduped",
+                      "__row")
     near = stored(_gone(near_repeats(first, edits), "__near"), "near_lines")
     joined = _joined(first, near).withColumn("__gone", F.when(
         F.col("__near").isNull(), F.col("__gone")).otherwise(F.array_union(
