@@ -69,7 +69,8 @@ def slices(batch: pa.RecordBatch, column: str = TEXT,
 
 
 def with_columns(df: DataFrame, text: str, fields: Sequence[T.StructField],
-                 work: Callable[..., list[pa.Array]], beside: str | None = None) -> DataFrame:
+                 work: Callable[..., list[pa.Array]], beside: str | None = None,
+                 size: int = SLICE_BYTES) -> DataFrame:
     """df and the columns that `work` makes of a list of texts (UTF-8), in Arrow batches.
 
     An input column with the name of a new one is replaced. Other columns pass untouched. If
@@ -84,7 +85,7 @@ def with_columns(df: DataFrame, text: str, fields: Sequence[T.StructField],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=size):
                 given = [] if at is None else [part.column(at).to_pylist()]
                 made = work(*given, part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
