@@ -22,7 +22,7 @@ from claimspan.sources.tables import (
 )
 from support import SF
 from harness import derived
-from harness.registry import CLAIMS_QUERIES, shared_path
+from harness.registry import CLAIMS_QUERIES, QUERIES, shared_path
 
 
 @pytest.fixture(scope="module")
@@ -201,3 +201,21 @@ def test_json_exports(spark, claims):
     assert json.loads(json_rows(empty).head().json)["avg_tat"] is None
     path = export_json(empty, shared_path(spark, "json"), "agg_TAT")
     assert json.loads(spark.read.text(path).head()[0]) == {**empty.head().asDict()}
+
+
+@pytest.mark.parametrize("query", ["stage_roundtrip", "stage_append"])
+def test_more_claims_than_the_stride(spark, tmp_path, query):
+    """Copies then share claim numbers; every one of them is stored all the same."""
+    for name in ("customer", "nation", "region"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    few = spark.read.parquet(f"{SF}/orders.parquet").where("o_orderkey < 20")
+    orders = few.union(few.withColumn("o_orderkey", F.expr("o_orderkey + 3000000")))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    found = QUERIES[query](spark, str(tmp_path))
+    assert found.schema.names == CLAIMS_WITH_DURATIONS.names
+    assert found.count() == 40 * 8 and found.select("claim_num").distinct().count() == 20 * 11
+    expected = derived.claims_with_durations(spark, str(tmp_path)).select(*found.columns)
+    assert found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()
+    orders.union(few.limit(1)).write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
+    with pytest.raises(ValueError, match="duplicate key"):
+        QUERIES[query](spark, str(tmp_path))
