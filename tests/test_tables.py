@@ -219,3 +219,19 @@ def test_more_claims_than_the_stride(spark, tmp_path, query):
     orders.union(few.limit(1)).write.mode("overwrite").parquet(str(tmp_path / "orders.parquet"))
     with pytest.raises(ValueError, match="duplicate key"):
         QUERIES[query](spark, str(tmp_path))
+
+
+def test_a_write_does_not_move_rows(spark, claims, tmp_path):
+    """Each task writes its own rows: shuffling and sorting them cost more than the table."""
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    one_month = claims.where("decided_2_date is not null").limit(30).withColumn(
+        "decided_2_date", F.lit("2020-02-03").cast("date")).withColumns(
+        {day: F.lit("2020-02-04").cast("date") for day in (*MILESTONES[:-1], "return_to_work_date")})
+    rows = one_month.toArrow().to_pylist()
+    spread = spark.createDataFrame(rows, CLAIMS_WITH_DURATIONS).repartition(3)
+    for layout in ("by_decided_month", "by_open_interval"):
+        write_stage(spread, str(tmp_path / layout), CLAIMS_WITH_DURATIONS, **{layout: True})
+        assert len(list((tmp_path / layout).rglob("*.parquet"))) == 3
+        read = read_stage(spark, str(tmp_path / layout), CLAIMS_WITH_DURATIONS)
+        assert sorted(r.claim_num for r in read.collect()) == sorted(r["claim_num"] for r in rows)
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
