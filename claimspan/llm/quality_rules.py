@@ -1,13 +1,13 @@
 """Quality rules with n-gram perplexity: a modified Kneser-Ney model and bands by language.
 
 The model predicts each byte of a text from the ORDER - 1 bytes before it, across words, with
-white space between words as one space. It is trained on a bounded sample of texts that the labels
-call good and not toxic (TRAIN_DOCS documents, TRAIN_BYTES of text, none of more than
-TRAIN_BYTES / 64), picked by hash. Spark counts n-grams, continuation counts, counts of counts
-and totals of contexts, in tables sharded by n-gram, and joins each order with the one below for
-interpolated probabilities. The finished orders are read as sorted arrays of keys with
-log probabilities and back-off weights, at most TRAIN_BYTES n-grams an order, which bounds what
-is sent to the tasks; a task looks up the different n-grams of a slice of texts at once.
+white space between words as one space. It is trained on all whole texts that the labels call good
+and not toxic. Spark counts n-grams, continuation counts, counts of counts and totals of contexts,
+in tables sharded by n-gram, and joins each order with the one below for interpolated
+probabilities. While there are few n-grams (MODEL_ROWS), the finished orders are read as sorted
+arrays of keys with log probabilities and back-off weights and sent to the tasks; a task looks up
+the different n-grams of a slice of texts at once. A larger model stays in its tables, with which
+the n-grams of all texts are joined.
 
 Rules: a document fails the base rules with fewer than MIN_WORDS words, or if more than
 MAX_REPEAT percent of its words stand in three-word windows that occur again in it. What is left
@@ -35,13 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from claimspan.llm.common import stored, with_columns
+from claimspan.llm.common import slices, stored, with_columns
 
 ORDER = 5
-TRAIN_DOCS = 20_000
-TRAIN_BYTES = 8 << 20
+#: N-grams of the full order that may be sent to the tasks: up to 20 bytes each, and lower orders.
+MODEL_ROWS = 4 << 20
 HELD_OUT = 5
 QUANTILE = 0.005
 MARGIN = 1.1
@@ -131,8 +130,8 @@ def _found(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray):
 def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     """(gram, n) of the full order, in a column of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [spaced(text) for text in batch.column(0).to_pylist()]
+        for part in (part for batch in batches for part in slices(batch, "text")):
+            found = [spaced(text) for text in part.column(0).to_pylist()]
             keys, n = np.unique(grams(laid([t for t in found if t], order), order)[0],
                                 return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["gram", "n"])
@@ -140,6 +139,51 @@ def gram_counts(texts: DataFrame, order: int = ORDER) -> DataFrame:
     return texts.mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class StoredModel:
+    """A model too large to send. By order, from one: the table of (gram, context, rest, p)."""
+
+    orders: list[DataFrame]
+
+    def perplexities(self, texts: DataFrame) -> DataFrame:
+        """(id, perplexity) of (id, text); texts without words have none."""
+        found = stored(text_grams(texts, len(self.orders)), "rules_text_grams")
+        keys = found.select("gram").distinct()
+        value, sought = F.lit(0.0), F.lit(True)
+        for size in range(len(self.orders), 0, -1):
+            table = self.orders[size - 1]
+            keys = keys.join(table.select(F.col("gram").alias(f"g{size}"),
+                                          F.log("p").alias(f"p{size}")),
+                             F.col("gram").bitwiseAND(F.lit((1 << (8 * size)) - 1))
+                             == F.col(f"g{size}"), "left")
+            keys = keys.join(table.groupBy(F.col("context").alias(f"c{size}")).agg(
+                F.log(F.first("rest")).alias(f"w{size}")),
+                F.shiftright(F.col("gram").bitwiseAND(F.lit((1 << (8 * size)) - 1)), 8)
+                == F.col(f"c{size}"), "left")
+            here = F.coalesce(f"p{size}", f"w{size}", F.lit(0.0))
+            value = value + F.when(sought, here).otherwise(0.0)
+            sought = sought & F.col(f"p{size}").isNull()
+        value = value + F.when(sought, -math.log(_BYTES)).otherwise(0.0)
+        scored = keys.select("gram", value.alias("value"))
+        return found.join(scored, "gram").groupBy("id").agg(
+            F.exp(-F.sum(F.col("n") * F.col("value")) / F.sum("n")).alias("perplexity"))
+
+
+def text_grams(texts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(id, gram, n) of the full order, of each of (id, text) with a word."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (part for batch in batches for part in slices(batch, "text")):
+            for name, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                if not (text := spaced(text)):
+                    continue
+                keys, n = np.unique(grams(laid([text], order), order)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(keys), name, np.int64)), pa.array(keys), pa.array(n)],
+                    names=["id", "gram", "n"])
+
+    return texts.mapInArrow(run, "id long, gram long, n long")
+
+
 def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     """What n-grams counted once, twice, and more often give to the order below, by how many
     there are of each; halves where too few are counted to tell."""
@@ -151,14 +195,15 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
     return [min(max(d, 0.05), count - 0.05) for count, d in enumerate(told, 1)]
 
 
-def fit(texts: DataFrame, order: int = ORDER) -> Model:
+def fit(texts: DataFrame, order: int = ORDER) -> Model | StoredModel:
     counts = {order: stored(gram_counts(texts, order), "rules_counts")}
     for size in range(order - 1, 0, -1):
         # Below the full order what counts is how many different bytes an n-gram follows.
         suffix = F.col("gram").bitwiseAND(F.lit((1 << (8 * size)) - 1))
         counts[size] = counts[size + 1].groupBy(suffix.alias("gram")).agg(
             F.count("*").alias("n"))
-    below, tables, contexts = None, [], []
+    few = counts[order].count() <= MODEL_ROWS
+    below, orders, tables, contexts = None, [], [], []
     for size in range(1, order + 1):
         seen = counts[size].agg(*[F.count_if(F.col("n") == i) for i in range(1, 5)]).first()
         d = discounts(*seen)
@@ -177,14 +222,16 @@ def fit(texts: DataFrame, order: int = ORDER) -> Model:
             (F.col("n") - off) / F.col("total") + F.col("rest") * lower).alias("p")),
             f"rules_order_{size}")
         below = done.select(F.col("gram").alias("gram_below"), F.col("p").alias("p_below"))
-        tables.append(_arrays(done.select("gram", F.log("p").alias("value"))))
-        contexts.append(_arrays(done.groupBy(F.col("context").alias("gram")).agg(
-            F.log(F.first("rest")).alias("value"))))
-    return Model(tables, contexts, -math.log(_BYTES))
+        orders.append(done)
+        if few:
+            tables.append(_arrays(done.select("gram", F.log("p").alias("value"))))
+            contexts.append(_arrays(done.groupBy(F.col("context").alias("gram")).agg(
+                F.log(F.first("rest")).alias("value"))))
+    return Model(tables, contexts, -math.log(_BYTES)) if few else StoredModel(orders)
 
 
 def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys and their values; bounded by TRAIN_BYTES."""
+    """Sorted keys and their values; bounded by MODEL_ROWS."""
     held = table.toArrow()
     keys, values = held.column(0).to_numpy(), held.column(1).to_numpy()
     order = np.argsort(keys)
@@ -246,9 +293,18 @@ def measures(texts: list[bytes | None], model: Model | None) -> list[pa.Array]:
             pa.array(value, pa.float64(), mask=(counts == 0) | (model is None))]
 
 
-def measured(docs: DataFrame, model: Model | None) -> DataFrame:
+def measured(docs: DataFrame, model: Model | StoredModel | None) -> DataFrame:
     """docs with MEASURES and base_failed."""
-    out = with_columns(docs, "text", MEASURES, lambda texts: measures(texts, model))
+    if isinstance(model, StoredModel):
+        # Rows are numbered once and stored, as doc_ids may repeat.
+        rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rules_rows")
+        values = model.perplexities(rows.select(
+            F.col("__row").alias("id"), F.col("text").cast("binary").alias("text")))
+        out = with_columns(rows, "text", MEASURES, lambda texts: measures(texts, None)).drop(
+            "perplexity").join(values.withColumnRenamed("id", "__row"), "__row", "left").drop(
+            "__row")
+    else:
+        out = with_columns(docs, "text", MEASURES, lambda texts: measures(texts, model))
     return out.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (
         F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT))
 
@@ -266,20 +322,12 @@ def _held_out() -> Column:
     return F.pmod(F.xxhash64(F.lit("quality rules"), "doc_id"), F.lit(HELD_OUT)) == 0
 
 
-def training_texts(docs: DataFrame, ids: DataFrame, max_docs: int = TRAIN_DOCS,
-                   max_bytes: int = TRAIN_BYTES) -> DataFrame:
-    """doc_id and text to train on, one for each picked doc_id."""
-    order = F.xxhash64("doc_id")
-    picked = ids.orderBy(order, "doc_id").limit(max_docs)
-    hashed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).where(
-        F.octet_length("text").between(1, max_bytes // 64))
-    one = hashed.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(
-        F.min(F.struct("h", F.octet_length("text").alias("bytes"))).alias("one"))
-    so_far = F.sum("one.bytes").over(Window.orderBy(order, "doc_id"))  # max_docs rows at most
-    chosen = one.withColumn("so_far", so_far).where(F.col("so_far") <= max_bytes).select(
-        "doc_id", F.col("one.h").alias("h"))
-    return hashed.join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(
-        ["doc_id", "h"]).select("doc_id", F.col("text").cast("binary").alias("text"))
+def training_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text to train on, one for each doc_id that has any: that with the least hash."""
+    given = docs.where(F.octet_length("text") > 0).join(ids, "doc_id", "left_semi")
+    return given.groupBy("doc_id").agg(F.min(F.struct(
+        F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))).alias("one")
+    ).select("doc_id", F.col("one.text").alias("text"))
 
 
 def bands(judged_by: DataFrame) -> DataFrame:

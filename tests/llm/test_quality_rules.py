@@ -149,3 +149,31 @@ def test_clashing_rows_train_alike(spark):
                                      "doc_id long, text string, lang string").repartition(n)
         picked.append(sorted(map(tuple, q.training_texts(docs, ids).collect())))
     assert picked[0] == picked[1] and len(picked[0]) == 29
+
+
+def test_all_trusted_texts_are_trained_on(spark):
+    """Also long ones, and those beyond some megabytes."""
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.repeat(
+        F.concat(F.lit("word"), F.col("id").cast("string"), F.lit(" ")), 30_000).alias("text"))
+    ids = docs.select("doc_id")
+    texts = q.training_texts(docs, ids)
+    assert texts.count() == 100
+    least = texts.agg(F.min(F.octet_length("text"))).first()[0]
+    assert least == 6 * 30_000
+
+
+def test_a_model_left_in_tables_scores_alike(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(
+        "doc_id", "text", "lang")
+    docs = docs.union(docs.limit(3)).union(spark.createDataFrame(
+        [(7_000_000, None, "en"), (7_000_001, " ", "en"), (7_000_002, "Größe 漢字", None)],
+        docs.schema))
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    sent = q.judged(docs, labels)
+    monkeypatch.setattr(q, "MODEL_ROWS", 0)
+    stored = q.judged(docs, labels)
+    assert stored.columns == sent.columns or set(stored.columns) == set(sent.columns)
+    told = [sorted(((r.doc_id, r.n_words, r.kept, round(r.perplexity or 0, 3),
+                     round(r.low, 3), round(r.high, 3)) for r in out.collect()), key=str)
+            for out in (sent, stored)]
+    assert told[0] == told[1] and len(told[0]) == docs.count()
