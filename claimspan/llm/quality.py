@@ -4,8 +4,8 @@ Two models in one. Pairs of words give a word its probability after the word bef
 they leave goes to single words, by the number of words each follows, and what those leave goes
 to a model of the bytes of words, n-grams (ORDER) with a boundary before and after each word.
 So word order counts, any word of any language has a probability, and a document's perplexity
-is a mean over its bytes. The model is trained on at most TRAIN_DOCS documents, and TRAIN_BYTES
-of text, that the labels call good and not toxic, picked by hash.
+is a mean over its bytes. The model is trained on all whole texts that the labels call good and
+not toxic; of clashing texts of one doc_id, on that with the least hash.
 
 Repetition is told by the document's own past: a second perplexity lets the pairs seen earlier
 in the document take part, as if the model stood for OWN_WEIGHT observations of each context.
@@ -14,10 +14,13 @@ is said again and again. What the model remembers of trained texts is in both, a
 
 Counts, continuation counts, discounts and interpolated probabilities are made by Spark: each
 order's n-grams are sharded by hash and joined with their contexts' totals and with the next
-lower order. Because the trained text is bounded, so is the model (TRAIN_BYTES n-grams per
-order); it travels to the tasks, which score whole documents without a shuffle. Words are told
-apart by hashes of 64 bits, and numbered by them; log probabilities of pairs are kept in single
-precision.
+lower order. The n-grams of bytes, and single words while there are few (VOCABULARY), travel to
+the tasks. Pairs of words never do: they stay in a table, dealt into shards. To score, a task cuts
+texts into words, and sends the different pairs of each document, packed, to the shards, where
+they are looked up; sums by document come back. With more words than VOCABULARY, words and pairs
+of all documents are joined with the tables of the model instead, with the same results. Words are
+told apart by hashes of 64 bits, and numbered by how often they occur; log probabilities of pairs
+are kept in single precision.
 
 A document is rejected if its perplexity is over its language's threshold, the QUANTILE of the
 trusted documents of that language, times MARGIN; or if its novelty is under the least one, the
@@ -40,39 +43,36 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from claimspan.llm.common import slices, stored, with_columns
+from claimspan.llm.common import slices, stored
 
 ORDER = 5
-TRAIN_DOCS = 20_000
-TRAIN_BYTES = 64 << 20
 QUANTILE = 0.995
 MARGIN = 1.1
 MIN_TRUSTED = 20
 HELD_OUT = 5
 OWN_WEIGHT = 1.0
-#: Rows of the tables by word that may be broadcast: 24 bytes each.
-FEW_WORDS = 1 << 20
+#: Words that may be sent to the tasks: 36 bytes each.
+VOCABULARY = 8 << 20
 #: Text whose pairs of words are counted at once within a task.
-COUNT_BYTES = 1 << 20
+COUNT_BYTES = 4 << 20
 #: Text scored at once within a task.
-SCORE_BYTES = 2 << 20
-#: Pairs of words that the driver reads at a time.
+SCORE_BYTES = 4 << 20
+#: Counted pairs packed at once within a task.
+PACK_ROWS = 1 << 20
+#: Rows that the driver reads at a time.
 PART_ROWS = 1 << 20
+#: Text by shard of the pairs, and by shard while there are fewer than SHARDS.
+SHARD_BYTES, LEAST_SHARD_BYTES, SHARDS = 256 << 20, 24 << 20, 16
 BOUNDARY = b" "
 
-RESULT = [T.StructField("n_words", T.LongType(), False),
-          T.StructField("perplexity", T.DoubleType(), True),
-          T.StructField("novelty", T.DoubleType(), True)]
+SCORES = "id long, n_words long, perplexity double, novelty double"
 JUDGED = ("n_words", "perplexity", "novelty", "threshold", "least_novelty", "accepted")
 
 
@@ -114,19 +114,18 @@ def holds_out(labels: DataFrame) -> bool:
     return trusted_ids(labels).limit(enough).count() == enough
 
 
-def training_texts(docs: DataFrame, labels: DataFrame, max_docs: int = TRAIN_DOCS,
-                   max_bytes: int = TRAIN_BYTES, hold_out: bool = False) -> DataFrame:
-    """Bounded sample of trusted texts."""
-    order = F.xxhash64("doc_id")
-    ids = trusted_ids(labels).where(~_held_out() if hold_out else F.lit(True)).orderBy(
-        order, "doc_id").limit(max_docs)
-    picked = docs.join(F.broadcast(ids), "doc_id").where("text is not null").dropDuplicates(
-        ["doc_id"]).select("doc_id", F.octet_length("text").alias("bytes"))
-    so_far = F.sum("bytes").over(Window.orderBy(order, "doc_id"))
-    within = picked.select("doc_id", so_far.alias("total")).where(F.col("total") <= max_bytes)
-    return docs.join(F.broadcast(within.select("doc_id")), "doc_id").where(
-        "text is not null").dropDuplicates(["doc_id"]).select(
-        F.col("text").cast("binary").alias("text"))
+def training_texts(docs: DataFrame, labels: DataFrame, hold_out: bool = False) -> DataFrame:
+    """All trusted texts, one for each doc_id. Only where a doc_id is repeated are texts moved to
+    choose the one with the least hash."""
+    ids = trusted_ids(labels).where(~_held_out() if hold_out else F.lit(True))
+    given = docs.where("text is not null").select("doc_id", "text")
+    rows = given.select("doc_id").join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.count("*").alias("rows"))
+    rows = stored(rows, "trusted_rows")
+    once = given.join(rows.where("rows = 1"), "doc_id", "left_semi").select("text")
+    more = given.join(rows.where("rows > 1"), "doc_id", "left_semi").groupBy("doc_id").agg(
+        F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("one")).select("one.text")
+    return once.unionByName(more).select(F.col("text").cast("binary").alias("text"))
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
@@ -279,6 +278,18 @@ def pair_names(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return before.astype(np.int64) << 32 | word
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers, by their first bytes, second bytes and so on, compressed."""
+    planes = np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8).T
+    return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, count: int) -> np.ndarray:
+    planes = pa.decompress(data, decompressed_size=8 * count, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, count).T).view(
+        "<i8").reshape(-1)
+
+
 def numbered(words: list[list[bytes]]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
     """Numbers of the different words from 1, each word's number, and that of the word before
     it in its document, 0 for none."""
@@ -292,41 +303,62 @@ def numbered(words: list[list[bytes]]) -> tuple[dict[bytes, int], np.ndarray, np
 
 
 @dataclass
-class WordModel:
-    """A word's number is its place, from 1, among the sorted hashes. By number: log P of the
-    single word; the log of the weight that it, as a context, gives to single words; where the
-    pairs that it begins lie among `seconds`, with their log P. The model of bytes, its weight.
-    """
+class Vocabulary:
+    """The sorted hashes of trained words, and each one's number, from 1, by how often it occurs."""
 
     hashes: np.ndarray
+    numbers: np.ndarray
+
+    def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' numbers, and whether they have any; the others get the next number."""
+        at, known = _places(self.hashes, word_hashes(words))
+        out = np.full(len(words), len(self.hashes) + 1, np.int64)
+        out[known] = self.numbers[at[known]]
+        return out, known
+
+
+@dataclass
+class Singles:
+    """By a word's number: log P of the single word; how often it is a context; the log of the
+    weight that it, as a context, gives to single words. The discounts of pairs."""
+
     words: np.ndarray
+    totals: np.ndarray
     contexts: np.ndarray
-    begins: np.ndarray
-    seconds: np.ndarray
-    values: np.ndarray
-    spelling: Model
+    discounts: np.ndarray
+
+    def back_off(self, pairs: np.ndarray) -> np.ndarray:
+        """Log P(word | word before) of pairs that were never seen."""
+        return self.contexts[pairs >> 32] + self.words[pairs & ((1 << 32) - 1)]
+
+    def seen(self, pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Log P(word | word before) of pairs that were seen n times."""
+        own = (n - self.discounts[np.minimum(n, 3) - 1]) / self.totals[pairs >> 32]
+        return np.log(own + np.exp(self.back_off(pairs))).astype(np.float32)
+
+
+@dataclass
+class WordModel:
+    """The model of bytes, sent, and the log of its weight; with the vocabulary and single words
+    sent, and (pair, n) in a table."""
+
+    spelling: Broadcast
     rest: float
+    vocabulary: Broadcast
+    singles: Broadcast
+    counts: DataFrame
+
 
-    @cached_property
-    def pairs(self) -> np.ndarray:
-        """The names of the pairs. Made where they are looked up, as they take twice the
-        space of what travels."""
-        names = np.repeat(np.arange(len(self.begins) - 1) << 32, np.diff(self.begins))
-        names |= self.seconds  # in place: a copy would be as large again
-        return names
-
-    def pair_scores(self, number: dict[bytes, int], before: np.ndarray,
-                    word: np.ndarray) -> np.ndarray:
-        """Log P(word | word before) of pairs of numbers of this batch."""
-        spelling = list(number)
-        at, known = _places(self.hashes, word_hashes(spelling))
-        own = np.concatenate(([BEGIN], np.where(known, at + 1, len(self.hashes) + 1)))
-        single = self.spelling.word_scores(spelling) + self.rest
-        single[known] = self.words[own[1:][known]]
-        score = self.contexts[own[before]] + single[word - 1]
-        known, value = _look_up((self.pairs, self.values), pair_names(own[before], own[word]))
-        score[known] = value[known]
-        return score
+@dataclass
+class StoredModel:
+    """The model of bytes, sent, and the log of its weight; tables by the hashes of words:
+    (word, p), (before, back) and (before, word, v)."""
+
+    spelling: Broadcast
+    rest: float
+    words: DataFrame
+    contexts: DataFrame
+    pairs: DataFrame
 
 
 def _places(names: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -337,128 +369,125 @@ def _places(names: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, names[at] == keys
 
 
-def sent(spark: SparkSession, model: WordModel) -> Broadcast:
-    """The arrays of the model, sent once for all jobs that score. Its size has a bound, as
-    the trained text has. Plain data: tasks need no package."""
-    return spark.sparkContext.broadcast({**vars(model), "spelling": vars(model.spelling)})
-
-
-def arrived(model: Broadcast) -> WordModel:
-    """The model that was sent."""
-    return WordModel(**{**model.value, "spelling": Model(**model.value["spelling"])})
-
-
-def vocabulary(words: DataFrame) -> np.ndarray:
-    """The sorted hashes of the trained words."""
+def vocabulary(words: DataFrame) -> Vocabulary:
+    """Of (word, n)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(word_hashes(batch.column(0).to_pylist()))], names=["h"])
+                [pa.array(word_hashes(batch.column(0).to_pylist())), batch.column(1)],
+                names=["h", "n"])
 
-    return np.unique(words.select("word").mapInArrow(run, "h long").toArrow()
-                     .column(0).to_numpy())
+    held = words.select("word", "n").mapInArrow(run, "h long, n long").toArrow()
+    hashes, at = np.unique(held.column(0).to_numpy(), return_index=True)
+    order = np.lexsort((hashes, -held.column(1).to_numpy()[at]))
+    numbers = np.empty(len(hashes), np.int32)
+    numbers[order] = np.arange(1, len(hashes) + 1)
+    return Vocabulary(hashes, numbers)
 
 
-def pair_counts(texts: DataFrame, hashes: Broadcast) -> DataFrame:
-    """(pair, n): pairs of words by their numbers, the first one's in the upper half."""
+def _word_names(words: list[bytes], known: Broadcast | None) -> np.ndarray:
+    """The numbers of trained words, or the hashes of any."""
+    return Vocabulary(**known.value).find(words)[0] if known else word_hashes(words)
+
+
+def pair_counts(texts: DataFrame, known: Broadcast | None) -> DataFrame:
+    """(before, word, n): pairs of words by number; without numbers, by hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (part for batch in batches for part in slices(batch, "text", COUNT_BYTES))
         for part in parts:
             number, word, before = numbered([t.split() for t in part.column(0).to_pylist()])
-            own = np.concatenate(([BEGIN], 1 + np.searchsorted(
-                hashes.value, word_hashes(list(number)))))
+            own = np.concatenate(([BEGIN], _word_names(list(number), known)))
             size = len(own)
             pairs, n = np.unique(before * size + word, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(pair_names(own[pairs // size], own[pairs % size])),
-                 pa.array(n.astype(np.int64))], names=["pair", "n"])
+            first, second = own[pairs // size], own[pairs % size]
+            n = pa.array(n.astype(np.int64))
+            if known:
+                names = pair_names(first, second)
+                order = np.argsort(names)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names[order]), n.take(pa.array(order))], names=["pair", "n"])
+            else:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(first), pa.array(second), n], names=["before", "word", "n"])
 
-    return texts.mapInArrow(run, "pair long, n long").groupBy("pair").agg(
-        F.sum("n").alias("n"))
+    key = ["pair"] if known else ["before", "word"]
+    return texts.mapInArrow(run, "".join(f"{k} long, " for k in key) + "n long").groupBy(
+        *key).agg(F.sum("n").alias("n"))
 
 
-def spellings(words: DataFrame, hashes: Broadcast, model: Broadcast) -> DataFrame:
-    """(word, spelled): numbers of words and their probabilities by their bytes."""
+def spellings(words: DataFrame, known: Broadcast | None, model: Broadcast) -> DataFrame:
+    """(word, spelled): names of words and their probabilities by their bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             spelling = batch.column(0).to_pylist()
-            own = 1 + np.searchsorted(hashes.value, word_hashes(spelling))
+            own = _word_names(spelling, known)
             scores = Model(**model.value).word_scores(spelling)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own.astype(np.int64)), pa.array(np.exp(scores))],
-                names=["word", "spelled"])
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.exp(scores))],
+                                             names=["word", "spelled"])
 
     return words.select("word").mapInArrow(run, "word long, spelled double")
 
 
-def _discount(counts: DataFrame) -> Column:
+def _discounts(counts: DataFrame) -> list[float]:
     seen = counts.agg(*[F.count_if(F.col("n") == i) for i in range(1, 5)]).first()
-    d = discounts(list(seen))
+    return discounts(list(seen))
+
+
+def _off(d: list[float]) -> Column:
     return F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
 
 
-def fit_words(texts: DataFrame, order: int = ORDER) -> WordModel:
+def fit_words(texts: DataFrame, order: int = ORDER) -> WordModel | StoredModel:
+    """Broadcasts hold plain data: tasks need no package."""
     context = texts.sparkSession.sparkContext
     words = stored(word_counts(texts), "trusted_words")
-    spelling = fit_spelling(words, order)
-    found = vocabulary(words)
-    hashes, bytes_ = context.broadcast(found), context.broadcast(vars(spelling))
-    counts = stored(pair_counts(texts, hashes), "kneser_ney_pairs").select(
-        "pair", F.shiftright("pair", 32).alias("before"),
-        F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("word"), "n")
+    spelling = context.broadcast(vars(fit_spelling(words, order)))
+    found = known = None
+    if words.count() <= VOCABULARY:
+        found = vocabulary(words)
+        known = context.broadcast(vars(found))
+    rows = counts = stored(pair_counts(texts, known), "kneser_ney_pairs")
+    if known:
+        counts = rows.select(F.shiftright("pair", 32).alias("before"),
+                             F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("word"), "n")
     follows = stored(counts.groupBy("word").agg(F.count("*").alias("n")), "kneser_ney_follows")
-    off = _discount(follows)
+    off = _off(_discounts(follows))
     every = follows.agg(F.sum("n").alias("total"), F.sum(off).alias("off")).first()
     rest = every.off / every.total if every.total else 1.0
-    single = stored(
-        follows.join(spellings(words, hashes, bytes_), "word").select(
-            "word", ((F.col("n") - off) / F.lit(every.total or 1)
-                     + F.lit(rest) * F.col("spelled")).alias("p")), "kneser_ney_words")
-    # What they were sent for is written: tasks run again read the written tables.
-    hashes.destroy()
-    bytes_.destroy()
-    off = _discount(counts)
-    contexts = stored(counts.groupBy("before").agg(
-        F.sum("n").alias("total"), (F.sum(off) / F.sum("n")).alias("rest")),
-        "kneser_ney_contexts")
-    # Contexts are words, too. While they are few, by count, they go to the pairs, which then
-    # are not shuffled again; beyond that the joins shuffle.
-    few = single.count() <= FEW_WORDS
-    with_totals = counts.join(F.broadcast(contexts) if few else contexts, "before")
-    pairs = stored(with_totals.join(F.broadcast(single) if few else single, "word").select(
-        F.col("pair").alias("gram"), F.log((F.col("n") - off) / F.col("total")
-                                           + F.col("rest") * F.col("p")).cast("float").alias("v")),
+    single = follows.join(spellings(words, known, spelling), "word").select(
+        "word", ((F.col("n") - off) / F.lit(every.total or 1)
+                 + F.lit(rest) * F.col("spelled")).alias("p"))
+    d = _discounts(counts)
+    contexts = counts.groupBy("before").agg(
+        F.sum("n").alias("total"), (F.sum(_off(d)) / F.sum("n")).alias("rest"))
+    if known:
+        size = len(found.hashes) + 2
+        del found
+        logs = _by_number(stored(single.select("word", F.log("p").alias("p")),
+                                 "kneser_ney_words"), size)[0]
+        totals, weights = _by_number(stored(contexts.select(
+            "before", "total", F.log("rest").alias("rest")), "kneser_ney_contexts"), size)
+        return WordModel(spelling, math.log(rest), known, context.broadcast(vars(
+            Singles(logs, totals, weights, np.array(d)))), rows)
+    single, contexts = stored(single, "kneser_ney_words"), stored(contexts, "kneser_ney_contexts")
+    pairs = stored(counts.join(contexts, "before").join(single, "word").select(
+        "before", "word", F.log((F.col("n") - _off(d)) / F.col("total")
+                                + F.col("rest") * F.col("p")).cast("float").alias("v")),
         "kneser_ney_logs")
-    size = len(found) + 2
-    begins, seconds, values = _pairs_in_parts(pairs, size)
-    return WordModel(
-        found, _by_number(single.select("word", F.log("p")), size),
-        _by_number(contexts.select("before", F.log("rest")), size),
-        begins, seconds, values, spelling, math.log(rest))
-
-
-def _pairs_in_parts(pairs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where each word's pairs begin, their second words, their values: read by ranges of the
-    first word, PART_ROWS or so at a time, so that the driver never holds them twice."""
-    rows = pairs.count()
-    counts = np.zeros(size, np.int64)
-    seconds, values = np.zeros(rows, np.int32), np.zeros(rows, np.float32)
-    edges = np.linspace(0, size, -(-rows // PART_ROWS) + 1).astype(np.int64) << 32
-    done = 0
-    for low, high in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        names, logs = _sorted(pairs.where((F.col("gram") >= low) & (F.col("gram") < high)))
-        counts += np.bincount(names >> 32, minlength=size)
-        seconds[done:done + len(names)] = names & ((1 << 32) - 1)
-        values[done:done + len(names)] = logs
-        done += len(names)
-    return np.concatenate(([0], np.cumsum(counts)))[:size], seconds, values
-
-
-def _by_number(table: DataFrame, size: int) -> np.ndarray:
-    """The second column as an array by the first one; nought where there is none."""
-    held = table.toArrow()
-    out = np.zeros(size)
-    out[held.column(0).to_numpy()] = held.column(1).to_numpy()
+    return StoredModel(spelling, math.log(rest), single,
+                       contexts.select("before", F.log("rest").alias("back")), pairs)
+
+
+def _by_number(table: DataFrame, size: int) -> list[np.ndarray]:
+    """The further columns as arrays by the first one, nought where there is none; read by
+    ranges of PART_ROWS numbers, so that the driver never holds them twice."""
+    key, *names = table.columns
+    out = [np.zeros(size) for _ in names]
+    for low in range(0, size, PART_ROWS):
+        held = table.where((F.col(key) >= low) & (F.col(key) < low + PART_ROWS)).toArrow()
+        at = held.column(0).to_numpy()
+        for values, column in zip(out, held.columns[1:]):
+            values[at] = column.to_numpy()
     return out
 
 
@@ -476,40 +505,256 @@ def seen_before(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def perplexities(texts: list[bytes | None], model: WordModel) -> list[pa.Array]:
+def told_apart(each: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Of pairs with log P `each`, found n times in a document: the sum of log P less the log of
+    what the document's past makes of the pair."""
+    out = np.full(len(n), -math.log(OWN_WEIGHT))
+    more = np.flatnonzero(n > 1)
+    if len(more):
+        begins = np.cumsum(n[more]) - n[more]
+        again = np.arange(n[more].sum()) - np.repeat(begins, n[more])
+        value = np.repeat(each[more], n[more])
+        out[more] = np.add.reduceat(
+            value - np.log(again + OWN_WEIGHT * np.exp(value)), begins)
+    return out
+
+
+@dataclass
+class Cut:
+    """Texts cut into words: the different words, and by document and pair of words (places in
+    `words`, from 1; 0 for none) how often it is found."""
+
+    words: list[bytes]
+    document: np.ndarray
+    before: np.ndarray
+    word: np.ndarray
+    n: np.ndarray
+    n_words: np.ndarray
+    size: np.ndarray  # bytes, with one for the end of each word
+    past: np.ndarray  # log of the weight that the contexts' own past has
+
+
+def cut(texts: list[bytes | None]) -> Cut:
     words = [text.split() if text else [] for text in texts]
     counts = np.fromiter(map(len, words), np.int64, len(words))
     number, flat, before = numbered(words)
-    pairs, which = np.unique(before * (len(number) + 1) + flat, return_inverse=True)
-    symbols = np.fromiter(map(len, number), np.int64, len(number)) + 1
-    each = model.pair_scores(number, pairs // (len(number) + 1), pairs % (len(number) + 1))
-    each = each[which]
+    symbols = np.concatenate(([0], np.fromiter(map(len, number), np.int64, len(number)) + 1))
     document = np.repeat(np.arange(len(words)), counts)
-    again = seen_before(document * max(1, len(pairs)) + which)
-    context = seen_before(document * (len(number) + 1) + before)
-    own = np.log((again + OWN_WEIGHT * np.exp(each)) / (context + OWN_WEIGHT))
+    names = len(number) + 1
+    context = document * names + before
+    keys, n = np.unique(context * names + flat, return_counts=True)
+    past = np.log(seen_before(context) + OWN_WEIGHT)
+    return Cut(list(number), keys // (names * names), keys // names % names, keys % names, n,
+               counts, np.bincount(document, symbols[flat], len(words)),
+               np.bincount(document, past, len(words)))
+
+
+def shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
+    mixed = pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mixed >> np.uint64(33)).astype(np.int64) % shards
+
+
+def packed_counts(counts: DataFrame, shards: int) -> DataFrame:
+    """(shard, rows, pairs, n) of (pair, n)."""
+    def pack(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = np.concatenate([batch.column(0).to_numpy() for batch in held])
+        n = np.concatenate([batch.column(1).to_numpy() for batch in held])
+        order = np.argsort(pairs)
+        pairs, n = pairs[order], n[order]
+        shard = shard_of(pairs, shards)
+        at = [np.flatnonzero(shard == k) for k in range(shards)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(shards)), pa.array([len(a) for a in at], pa.int64()),
+             pa.array([packed(pairs[a]) for a in at], pa.binary()),
+             pa.array([packed(n[a]) for a in at], pa.binary())],
+            names=["shard", "rows", "pairs", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= PACK_ROWS:
+                yield from pack(held)
+                held = []
+        if held:
+            yield from pack(held)
+
+    return counts.mapInArrow(run, "shard long, rows long, pairs binary, n binary")
+
+
+def sought(texts: DataFrame, model: WordModel, shards: int) -> DataFrame:
+    """(slice, shard, docs, rows, document, pairs, n, home): of a slice of (id, text), the pairs
+    of trained words by shard and place of the document in the slice. One shard gets what else
+    is known of the documents, `home`: ids, words, sizes, and sums of what needs no pair."""
+    known, singles, spelling, rest = (
+        model.vocabulary, model.singles, model.spelling, model.rest)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SCORE_BYTES):
+                yield work(part)
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        ids, c = part.column(0).to_numpy(), cut(part.column(1).to_pylist())
+        docs, scores = len(ids), Singles(**singles.value)
+        number, have = Vocabulary(**known.value).find(c.words)
+        single = scores.words[number]
+        single[~have] = rest + Model(**spelling.value).word_scores(
+            [c.words[k] for k in np.flatnonzero(~have)])
+        number, have = np.concatenate(([BEGIN], number)), np.concatenate(([True], have))
+        here = ~(have[c.before] & have[c.word])
+        each = scores.contexts[number[c.before[here]]] + single[c.word[here] - 1]
+        value = np.bincount(c.document[here], c.n[here] * each, docs)
+        gain = c.past + np.bincount(c.document[here], told_apart(each, c.n[here]), docs)
+        home = np.concatenate((c.n_words, c.size, value, gain)).astype(np.float64)
+        home = ids.astype(np.int64).tobytes() + home.tobytes()
+        name = int.from_bytes(hashlib.blake2b(home, digest_size=8).digest(), "little", signed=True)
+        document, n = c.document[~here], c.n[~here]
+        pairs = pair_names(number[c.before[~here]], number[c.word[~here]])
+        shard = shard_of(pairs, shards)
+        order = np.argsort(shard, kind="stable")
+        ends = np.searchsorted(shard[order], np.arange(shards), "right")
+        at = [order[low:high] for low, high in zip([0, *ends[:-1]], ends)]
+        to = [k for k in range(shards) if len(at[k]) or k == name % shards]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(to), name)), pa.array(to, pa.int64()),
+             pa.array(np.full(len(to), docs)), pa.array([len(at[k]) for k in to], pa.int64()),
+             *[pa.array([packed(values[at[k]]) for k in to], pa.binary())
+               for values in (document, pairs, n)],
+             pa.array([home if k == name % shards else None for k in to], pa.binary())],
+            names=["slice", "shard", "docs", "rows", "document", "pairs", "n", "home"])
+
+    return texts.mapInArrow(run, "slice long, shard long, docs long, rows long, document binary, "
+                                 "pairs binary, n binary, home binary")
+
+
+def looked_up(model: WordModel, texts: DataFrame, shards: int) -> DataFrame:
+    """(slice, docs, sums, home): sums by document of pairs of one shard, two of each."""
+    singles = model.singles
+
+    def run(counted: pa.Table, asked: pa.Table) -> pa.Table:
+        scores, none = Singles(**singles.value), np.zeros(0, np.int64)
+        parts = counted.select(["rows", "pairs", "n"]).to_pylist()
+        pairs = np.concatenate([none, *[unpacked(r["pairs"], r["rows"]) for r in parts]])
+        n = np.concatenate([none, *[unpacked(r["n"], r["rows"]) for r in parts]])
+        del parts
+        order = np.argsort(pairs)
+        names = pairs[order]
+        model_ = names, scores.seen(names, n[order])
+        sums = []
+        for docs, rows, document, pairs, n in zip(*[
+                asked.column(c) for c in ("docs", "rows", "document", "pairs", "n")]):
+            document, pairs, n = [unpacked(c.as_py(), rows.as_py()) for c in (document, pairs, n)]
+            each = scores.back_off(pairs)
+            known, value = _look_up(model_, pairs)
+            each[known] = value[known]
+            sums.append(np.concatenate((
+                np.bincount(document, n * each, docs.as_py()),
+                np.bincount(document, told_apart(each, n), docs.as_py()))).tobytes())
+        return pa.table([asked.column("slice"), asked.column("docs"),
+                         pa.array(sums, pa.binary()), asked.column("home")],
+                        names=["slice", "docs", "sums", "home"])
+
+    return packed_counts(model.counts, shards).groupBy("shard").cogroup(
+        sought(texts, model, shards).groupBy("shard")).applyInArrow(
+        run, "slice long, docs long, sums binary, home binary")
+
+
+def summed(found: DataFrame) -> DataFrame:
+    """SCORES of what `looked_up` found. Slices with equal documents count as often."""
+    def run(rows: pa.Table) -> pa.Table:
+        docs = rows.column("docs")[0].as_py()
+        value, gain = sum(np.frombuffer(r.as_py()).reshape(2, docs) for r in rows.column("sums"))
+        homes = [r.as_py() for r in rows.column("home") if r.is_valid]
+        times, ids = len(homes), np.frombuffer(homes[0][:8 * docs], np.int64)
+        counts, size, own, more = np.frombuffer(homes[0][8 * docs:]).reshape(4, docs)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            perplexity = np.exp(-(value / times + own) / size)
+            novelty = np.exp((gain / times + more) / size)
+        return pa.table([pa.array(ids), pa.array(counts.astype(np.int64)),
+                         pa.array(perplexity, pa.float64(), mask=counts == 0),
+                         pa.array(novelty, pa.float64(), mask=counts == 0)],
+                        names=["id", "n_words", "perplexity", "novelty"])
+
+    return found.groupBy("slice").applyInArrow(run, SCORES)
+
+
+def joined(texts: DataFrame, model: StoredModel) -> DataFrame:
+    """SCORES of (id, text) by a model in tables. Texts with equal ids are equal, and count as
+    often."""
+    spelling, rest = model.spelling, model.rest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", SCORE_BYTES):
+                yield work(part)
+
+    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+        c = cut(part.column(1).to_pylist())
+        # A row without words for each document has what needs no pair.
+        docs = np.arange(part.num_rows)
+        rows = np.concatenate((c.document, docs))
+        none = np.zeros(len(c.n), np.int64)
+        pad = np.zeros(len(docs), np.int64)
+        hashes = np.concatenate(([BEGIN], word_hashes(c.words)))
+        guess = np.concatenate(([0.0], rest + Model(**spelling.value).word_scores(c.words)))
+        place = np.concatenate((c.word, pad))
+        return pa.RecordBatch.from_arrays([
+            part.column(0).take(pa.array(rows)),
+            pa.array(hashes[np.concatenate((c.before, pad))]), pa.array(hashes[place]),
+            pa.array(np.concatenate((c.n, pad))), pa.array(guess[place]),
+            pa.array(np.concatenate((none, pad + 1))), pa.array(np.concatenate((none, c.n_words))),
+            pa.array(np.concatenate((none, c.size)).astype(np.float64)),
+            pa.array(np.concatenate((none, c.past)))],
+            names=["id", "before", "word", "n", "guess", "times", "n_words", "size", "past"])
+
+    pairs = texts.mapInArrow(
+        run, "id long, before long, word long, n long, guess double, times long, n_words long, "
+             "size double, past double")
+    each = pairs.join(model.words, "word", "left").join(model.contexts, "before", "left").join(
+        model.pairs, ["before", "word"], "left").withColumn("each", F.coalesce(
+            F.col("v").cast("double"), F.coalesce("back", F.lit(0.0))
+            + F.coalesce(F.log("p"), F.col("guess"))))
+
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, value = batch.column("n").to_numpy(), batch.column("each").to_numpy()
+            gain = batch.column("past").to_numpy() + np.where(n, told_apart(value, n), 0)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:-3], pa.array(n * value), pa.array(gain)],
+                names=["id", "times", "n_words", "size", "value", "gain"])
+
+    sums = each.select("id", "times", "n_words", "size", "past", "n", "each").mapInArrow(
+        tell, "id long, times long, n_words long, size double, value double, gain double").groupBy(
+        "id").agg((F.sum("n_words") / F.sum("times")).cast("long").alias("n_words"),
+                  *[F.sum(c).alias(c) for c in ("size", "value", "gain")])
+    some = F.col("size") > 0
+    return sums.select("id", "n_words",
+                       F.when(some, F.exp(-F.col("value") / F.col("size"))).alias("perplexity"),
+                       F.when(some, F.exp(F.col("gain") / F.col("size"))).alias("novelty"))
 
-    def by_document(values: np.ndarray) -> np.ndarray:
-        return np.bincount(document, values, len(words))
 
-    with np.errstate(divide="ignore", invalid="ignore"):
-        size = by_document(symbols[flat - 1]) if len(flat) else np.zeros(len(words))
-        value = np.exp(-by_document(each) / size)
-        novelty = np.exp(by_document(each - own) / size)
-    return [pa.array(counts), pa.array(value, pa.float64(), mask=counts == 0),
-            pa.array(novelty, pa.float64(), mask=counts == 0)]
+def scored(texts: DataFrame, model: WordModel | StoredModel) -> DataFrame:
+    """SCORES of (id, text), one row for each id; texts with equal ids are equal."""
+    if isinstance(model, StoredModel):
+        return joined(texts, model)
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-size // SHARD_BYTES), min(SHARDS, -(-size // LEAST_SHARD_BYTES)))
+    return summed(looked_up(model, texts, shards)).groupBy("id").agg(
+        *[F.min(c).alias(c) for c in ("n_words", "perplexity", "novelty")])
 
 
-def score(docs: DataFrame, model: Broadcast) -> DataFrame:
-    """docs with n_words, perplexity and novelty, by a model that was sent."""
-    held: list[WordModel] = []  # a task's own, given up with it
+def perplexities(texts: list[bytes | None], model: WordModel | StoredModel) -> list[pa.Array]:
+    spark = SparkSession.active()
+    frame = spark.createDataFrame(
+        [(i, None if t is None else bytearray(t)) for i, t in enumerate(texts)],
+        "id long, text binary")
+    found = scored(frame, model).orderBy("id").toArrow()
+    return [found.column(c).combine_chunks() for c in ("n_words", "perplexity", "novelty")]
 
-    def work(texts: list[bytes | None]) -> list[pa.Array]:
-        if not held:
-            held.append(arrived(model))
-        return perplexities(texts, held[0])
 
-    return with_columns(docs, "text", RESULT, work, size=SCORE_BYTES)
+def _row_id() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
 def thresholds(scored: DataFrame, docs: DataFrame) -> DataFrame:
@@ -534,17 +779,16 @@ def thresholds(scored: DataFrame, docs: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with n_words, perplexity, novelty, threshold, least_novelty and accepted."""
     hold_out = holds_out(labels)
-    model = sent(docs.sparkSession, fit_words(
-        stored(training_texts(docs, labels, hold_out=hold_out), "trusted_texts")))
+    model = fit_words(training_texts(docs, labels, hold_out=hold_out))
+    scores = stored(scored(docs.select(_row_id().alias("id"), F.col("text").cast("binary").alias(
+        "text")), model).withColumnRenamed("id", "__id"), "perplexities")
     judges = trusted_ids(labels).where(_held_out() if hold_out else F.lit(True))
-    small = stored(score(docs.select("doc_id", "lang", "text").join(
-        judges, "doc_id", "left_semi"), model).select(
-        "doc_id", "lang", "perplexity", "novelty"), "perplexities")
-    cuts = stored(thresholds(small, docs), "quality_thresholds")
+    judging = docs.select("doc_id", "lang", _row_id().alias("__id")).join(
+        judges, "doc_id", "left_semi").join(scores, "__id")
+    cuts = stored(thresholds(judging, docs), "quality_thresholds")
     # A row for each language, which the join may broadcast by the size of the stored table.
-    replaced = [c for c in ("threshold", "least_novelty", "accepted", "language")
-                if c in docs.columns]
-    return (score(docs.drop(*replaced), model)
+    plain = docs.drop(*[c for c in (*JUDGED, "language") if c in docs.columns])
+    return (plain.withColumn("__id", _row_id()).join(scores, "__id", "left").drop("__id")
             .join(cuts, F.coalesce("lang", F.lit("")) == F.col("language"), "left")
             .withColumn("accepted", F.coalesce(
                 (F.col("perplexity") <= F.col("threshold"))

@@ -110,3 +110,50 @@ def test_word_order_counts(spark):
         model)
     assert value[0].as_py() < value[1].as_py()
     assert novelty[0].as_py() > 0.9 > 0.7 > novelty[2].as_py() and novelty[3].as_py() is None
+
+
+def test_trains_on_every_trusted_text(spark):
+    """Once each, however many there are; of clashing texts the same one in any order of rows."""
+    docs = spark.range(20_100).selectExpr("id as doc_id", "concat('word', id) as text")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    more = spark.createDataFrame([(3, "word3"), (4, "b"), (4, "a"), (5, None)],
+                                 "doc_id long, text string")
+    rows = [sorted(bytes(r.text) for r in q.training_texts(d, labels).collect())
+            for d in (docs.unionByName(more), more.orderBy("text").unionByName(docs))]
+    assert rows[0] == rows[1] and len(rows[0]) == 20_100
+
+
+def test_models_sent_and_joined_score_alike(spark, make, monkeypatch):
+    texts = ["red dogs bark at blue cats", "blue cats run from red dogs", "red dogs " * 50,
+             "cats zebra red zebra red zebra", "", None, "été dogs"]
+    docs = make([*enumerate(texts), (2, texts[2]), (None, texts[3]), (None, texts[3])])
+    labels = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (2, 1, 0)],
+                                   "doc_id long, quality int, toxic int")
+
+    def rows():
+        return sorted(((r.doc_id, r.text, r.n_words, r.perplexity, r.novelty, r.accepted)
+                       for r in q.judged(docs, labels).collect()), key=repr)
+
+    sent = rows()
+    monkeypatch.setattr(q, "VOCABULARY", 0)
+    monkeypatch.setattr(q, "SHARDS", 3)
+    joined = rows()
+    assert len(sent) == len(joined) == len(texts) + 3
+    for one, other in zip(sent, joined):
+        assert one[:3] == other[:3] and one[5] == other[5]
+        assert [v is None for v in one[3:5]] == [v is None for v in other[3:5]]
+        assert all(v is None or abs(v / w - 1) < 1e-6 for v, w in zip(one[3:5], other[3:5]))
+
+
+def test_pairs_in_many_shards_and_slices(spark, monkeypatch):
+    texts = ["red dogs bark at blue cats", "blue cats run from red dogs " * 3, "", "red dogs run"]
+    frame = spark.createDataFrame([(bytearray(t.encode()),) for t in texts], "text binary")
+    model = q.fit_words(frame, 3)
+    probe = [*(t.encode() for t in texts), b"zebra red dogs", None]
+    whole = [c.to_pylist() for c in q.perplexities(probe, model)]
+    monkeypatch.setattr(q, "SCORE_BYTES", 10)
+    monkeypatch.setattr(q, "LEAST_SHARD_BYTES", 10)
+    parts = [c.to_pylist() for c in q.perplexities(probe, model)]
+    assert whole[0] == parts[0] == [6, 18, 0, 3, 3, 0]
+    for one, other in zip(whole[1] + whole[2], parts[1] + parts[2]):
+        assert one is other is None or abs(one / other - 1) < 1e-9
