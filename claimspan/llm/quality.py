@@ -30,8 +30,8 @@ HELD_OUT * MIN_TRUSTED trusted documents all do both. Languages with fewer than
 documents to judge by share the thresholds over all languages. Without any trusted document
 nothing is rejected.
 
-Defined results: a null or wordless text has null perplexity and novelty and is kept. A null language is
-a language of its own. Repeated rows are scored alike; labels that contradict each other don't
+Defined results: a null or wordless text has null perplexity and novelty and is kept. A null
+language is a language of its own. Repeated rows are scored alike; labels that contradict each other don't
 count as trusted. Extra columns pass through; ones named like a result are replaced.
 """
 
@@ -650,7 +650,8 @@ def looked_up(model: WordModel, texts: DataFrame, shards: int) -> DataFrame:
             each[known] = value[known]
             sums.append(np.concatenate((
                 np.bincount(document, n * each, docs.as_py()),
-                np.bincount(document, told_apart(each, n), docs.as_py()))).tobytes())
+                np.bincount(document, told_apart(each, n), docs.as_py()))).astype(
+                np.float64).tobytes())
         return pa.table([asked.column("slice"), asked.column("docs"),
                          pa.array(sums, pa.binary()), asked.column("home")],
                         names=["slice", "docs", "sums", "home"])
@@ -705,7 +706,7 @@ def joined(texts: DataFrame, model: StoredModel) -> DataFrame:
             pa.array(np.concatenate((c.n, pad))), pa.array(guess[place]),
             pa.array(np.concatenate((none, pad + 1))), pa.array(np.concatenate((none, c.n_words))),
             pa.array(np.concatenate((none, c.size)).astype(np.float64)),
-            pa.array(np.concatenate((none, c.past)))],
+            pa.array(np.concatenate((none, c.past)).astype(np.float64))],
             names=["id", "before", "word", "n", "guess", "times", "n_words", "size", "past"])
 
     pairs = texts.mapInArrow(
