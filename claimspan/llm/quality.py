@@ -15,9 +15,10 @@ is said again and again. What the model remembers of trained texts is in both, a
 Counts, continuation counts, discounts and interpolated probabilities are made by Spark: each
 order's n-grams are sharded by hash and joined with their contexts' totals and with the next
 lower order. The n-grams of bytes, and single words while there are few (VOCABULARY), travel to
-the tasks. Pairs of words never do: they stay in a table, dealt into shards. To score, a task cuts
-texts into words, and sends the different pairs of each document, packed, to the shards, where
-they are looked up; sums by document come back. With more words than VOCABULARY, words and pairs
+the tasks, with the most frequent pairs of words (COMMON). All pairs stay in a table, dealt into
+shards. To score, a task cuts texts into words, looks up frequent pairs, and sends the other
+different pairs of each document, packed, to the shards, where they are looked up; sums by
+document come back. With more words than VOCABULARY, words and pairs
 of all documents are joined with the tables of the model instead, with the same results. Words are
 told apart by hashes of 64 bits, and numbered by how often they occur; log probabilities of pairs
 are kept in single precision.
@@ -46,11 +47,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspan.llm.common import slices, stored
+from claimspan.llm.common import slices, stored_lean as stored
 
 ORDER = 5
 QUANTILE = 0.995
@@ -70,6 +72,8 @@ PACK_ROWS = 1 << 20
 PART_ROWS = 1 << 20
 #: Text by shard of the pairs, and by shard while there are fewer than SHARDS.
 SHARD_BYTES, LEAST_SHARD_BYTES, SHARDS = 256 << 20, 24 << 20, 16
+#: The most frequent pairs of words, which are sent to the tasks: 12 bytes each.
+COMMON = 1 << 20
 BOUNDARY = b" "
 
 SCORES = "id long, n_words long, perplexity double, novelty double"
@@ -278,16 +282,46 @@ def pair_names(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return before.astype(np.int64) << 32 | word
 
 
+LOW = (1 << 32) - 1
+
+
 def packed(values: np.ndarray) -> bytes:
-    """Whole numbers, by their first bytes, second bytes and so on, compressed."""
-    planes = np.ascontiguousarray(values, "<i8").view(np.uint8).reshape(-1, 8).T
+    """Numbers of 8 or 4 bytes, by their first bytes, second bytes and so on, compressed."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
     return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes, count: int) -> np.ndarray:
-    planes = pa.decompress(data, decompressed_size=8 * count, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, count).T).view(
-        "<i8").reshape(-1)
+def unpacked(data: bytes, count: int, kind: str = "<i8") -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = pa.decompress(data, decompressed_size=size * count, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, count).T).view(
+        kind).reshape(-1)
+
+
+def packed_pairs(pairs: np.ndarray) -> bytes:
+    """Sorted names of pairs, each by how far it is from the one before."""
+    before, word = pairs >> 32, pairs & LOW
+    again = np.diff(before, prepend=-1) == 0
+    return packed(np.diff(before, prepend=0) << 32
+                  | np.where(again, np.diff(word, prepend=0), word))
+
+
+def unpacked_pairs(data: bytes, count: int) -> np.ndarray:
+    steps = unpacked(data, count)
+    before, word = np.cumsum(steps >> 32), np.cumsum(steps & LOW)
+    first = np.flatnonzero(np.diff(before, prepend=-1))
+    word -= np.repeat(word[first] - (steps[first] & LOW), np.diff(np.append(first, count)))
+    return before << 32 | word
+
+
+def sent(context: SparkContext, **arrays: np.ndarray) -> Broadcast:
+    """Arrays packed, as a task holds them apart from what it makes of them."""
+    return context.broadcast({name: (packed(values), len(values), values.dtype.str)
+                              for name, values in arrays.items()})
+
+
+def received(held: Broadcast, *names: str) -> list[np.ndarray]:
+    return [unpacked(*held.value[name]) for name in names]
 
 
 def numbered(words: list[list[bytes]]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
@@ -309,6 +343,14 @@ class Vocabulary:
     hashes: np.ndarray
     numbers: np.ndarray
 
+    def sent(self, context: SparkContext) -> Broadcast:
+        return sent(context, steps=np.diff(self.hashes, prepend=0), numbers=self.numbers)
+
+    @classmethod
+    def received(cls, held: Broadcast) -> Vocabulary:
+        steps, numbers = received(held, "steps", "numbers")
+        return cls(np.cumsum(steps), numbers)
+
     def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The words' numbers, and whether they have any; the others get the next number."""
         at, known = _places(self.hashes, word_hashes(words))
@@ -327,9 +369,16 @@ class Singles:
     contexts: np.ndarray
     discounts: np.ndarray
 
+    @classmethod
+    def received(cls, held: Broadcast, seen: bool) -> Singles:
+        """What `back_off` needs, and what `seen` needs too."""
+        words, contexts = received(held, "words", "contexts")
+        return cls(words, *(received(held, "totals") if seen else [None]), contexts,
+                   *received(held, "discounts"))
+
     def back_off(self, pairs: np.ndarray) -> np.ndarray:
         """Log P(word | word before) of pairs that were never seen."""
-        return self.contexts[pairs >> 32] + self.words[pairs & ((1 << 32) - 1)]
+        return self.contexts[pairs >> 32] + self.words[pairs & LOW]
 
     def seen(self, pairs: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Log P(word | word before) of pairs that were seen n times."""
@@ -339,13 +388,14 @@ class Singles:
 
 @dataclass
 class WordModel:
-    """The model of bytes, sent, and the log of its weight; with the vocabulary and single words
-    sent, and (pair, n) in a table."""
+    """The model of bytes, sent, and the log of its weight; with the vocabulary, single words and
+    the log P of frequent pairs sent, and (pair, n) in a table."""
 
     spelling: Broadcast
     rest: float
     vocabulary: Broadcast
     singles: Broadcast
+    common: Broadcast
     counts: DataFrame
 
 
@@ -385,27 +435,28 @@ def vocabulary(words: DataFrame) -> Vocabulary:
     return Vocabulary(hashes, numbers)
 
 
-def _word_names(words: list[bytes], known: Broadcast | None) -> np.ndarray:
+def _word_names(words: list[bytes], known: Vocabulary | None) -> np.ndarray:
     """The numbers of trained words, or the hashes of any."""
-    return Vocabulary(**known.value).find(words)[0] if known else word_hashes(words)
+    return known.find(words)[0] if known else word_hashes(words)
 
 
 def pair_counts(texts: DataFrame, known: Broadcast | None) -> DataFrame:
     """(before, word, n): pairs of words by number; without numbers, by hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = (part for batch in batches for part in slices(batch, "text", COUNT_BYTES))
+        names = Vocabulary.received(known) if known else None
         for part in parts:
             number, word, before = numbered([t.split() for t in part.column(0).to_pylist()])
-            own = np.concatenate(([BEGIN], _word_names(list(number), known)))
+            own = np.concatenate(([BEGIN], _word_names(list(number), names)))
             size = len(own)
             pairs, n = np.unique(before * size + word, return_counts=True)
             first, second = own[pairs // size], own[pairs % size]
             n = pa.array(n.astype(np.int64))
             if known:
-                names = pair_names(first, second)
-                order = np.argsort(names)
+                pairs = pair_names(first, second)
+                order = np.argsort(pairs)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[order]), n.take(pa.array(order))], names=["pair", "n"])
+                    [pa.array(pairs[order]), n.take(pa.array(order))], names=["pair", "n"])
             else:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(first), pa.array(second), n], names=["before", "word", "n"])
@@ -418,9 +469,10 @@ def pair_counts(texts: DataFrame, known: Broadcast | None) -> DataFrame:
 def spellings(words: DataFrame, known: Broadcast | None, model: Broadcast) -> DataFrame:
     """(word, spelled): names of words and their probabilities by their bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = Vocabulary.received(known) if known else None
         for batch in batches:
             spelling = batch.column(0).to_pylist()
-            own = _word_names(spelling, known)
+            own = _word_names(spelling, names)
             scores = Model(**model.value).word_scores(spelling)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.exp(scores))],
                                              names=["word", "spelled"])
@@ -445,11 +497,14 @@ def fit_words(texts: DataFrame, order: int = ORDER) -> WordModel | StoredModel:
     found = known = None
     if words.count() <= VOCABULARY:
         found = vocabulary(words)
-        known = context.broadcast(vars(found))
-    rows = counts = stored(pair_counts(texts, known), "kneser_ney_pairs")
+        known = found.sent(context)
+    rows = counts = pair_counts(texts, known)
+    # Sorted numbers take half the disk.
+    rows = counts = stored(rows.sortWithinPartitions("pair") if known else rows,
+                           "kneser_ney_pairs")
     if known:
         counts = rows.select(F.shiftright("pair", 32).alias("before"),
-                             F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("word"), "n")
+                             F.col("pair").bitwiseAND(F.lit(LOW)).alias("word"), "n")
     follows = stored(counts.groupBy("word").agg(F.count("*").alias("n")), "kneser_ney_follows")
     off = _off(_discounts(follows))
     every = follows.agg(F.sum("n").alias("total"), F.sum(off).alias("off")).first()
@@ -467,8 +522,9 @@ def fit_words(texts: DataFrame, order: int = ORDER) -> WordModel | StoredModel:
                                  "kneser_ney_words"), size)[0]
         totals, weights = _by_number(stored(contexts.select(
             "before", "total", F.log("rest").alias("rest")), "kneser_ney_contexts"), size)
-        return WordModel(spelling, math.log(rest), known, context.broadcast(vars(
-            Singles(logs, totals, weights, np.array(d)))), rows)
+        singles = Singles(logs, totals, weights, np.array(d))
+        return WordModel(spelling, math.log(rest), known, sent(context, **vars(singles)),
+                         common_pairs(rows, singles), rows)
     single, contexts = stored(single, "kneser_ney_words"), stored(contexts, "kneser_ney_contexts")
     pairs = stored(counts.join(contexts, "before").join(single, "word").select(
         "before", "word", F.log((F.col("n") - _off(d)) / F.col("total")
@@ -478,6 +534,18 @@ def fit_words(texts: DataFrame, order: int = ORDER) -> WordModel | StoredModel:
                        contexts.select("before", F.log("rest").alias("back")), pairs)
 
 
+def common_pairs(rows: DataFrame, singles: Singles) -> Broadcast:
+    """The names of the most frequent pairs, up to COMMON, and their log P."""
+    held = rows.groupBy("n").agg(F.count("*").alias("pairs")).orderBy(F.desc("n")).toArrow()
+    fits = np.flatnonzero(np.cumsum(held.column(1).to_numpy()) <= COMMON)
+    least = held.column(0)[int(fits[-1])].as_py() if len(fits) else None
+    held = rows.where(F.col("n") >= F.lit(least)).toArrow()
+    pairs, n = held.column(0).to_numpy(), held.column(1).to_numpy()
+    order = np.argsort(pairs)
+    pairs, n = pairs[order], n[order]
+    return sent(rows.sparkSession.sparkContext, pairs=pairs, values=singles.seen(pairs, n))
+
+
 def _by_number(table: DataFrame, size: int) -> list[np.ndarray]:
     """The further columns as arrays by the first one, nought where there is none; read by
     ranges of PART_ROWS numbers, so that the driver never holds them twice."""
@@ -565,7 +633,7 @@ def packed_counts(counts: DataFrame, shards: int) -> DataFrame:
         at = [np.flatnonzero(shard == k) for k in range(shards)]
         yield pa.RecordBatch.from_arrays(
             [pa.array(np.arange(shards)), pa.array([len(a) for a in at], pa.int64()),
-             pa.array([packed(pairs[a]) for a in at], pa.binary()),
+             pa.array([packed_pairs(pairs[a]) for a in at], pa.binary()),
              pa.array([packed(n[a]) for a in at], pa.binary())],
             names=["shard", "rows", "pairs", "n"])
 
@@ -584,33 +652,43 @@ def packed_counts(counts: DataFrame, shards: int) -> DataFrame:
 
 def sought(texts: DataFrame, model: WordModel, shards: int) -> DataFrame:
     """(slice, shard, docs, rows, document, pairs, n, home): of a slice of (id, text), the pairs
-    of trained words by shard and place of the document in the slice. One shard gets what else
-    is known of the documents, `home`: ids, words, sizes, and sums of what needs no pair."""
-    known, singles, spelling, rest = (
-        model.vocabulary, model.singles, model.spelling, model.rest)
+    of trained words, but frequent ones, by shard and place of the document in the slice. One
+    shard gets what else is known of the documents, `home`: ids, words, sizes, and sums of what
+    needs no shard."""
+    known, singles, common, spelling, rest = (
+        model.vocabulary, model.singles, model.common, model.spelling, model.rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, scores = Vocabulary.received(known), Singles.received(singles, seen=False)
+        often = tuple(received(common, "pairs", "values"))
         for batch in batches:
             for part in slices(batch, "text", SCORE_BYTES):
-                yield work(part)
+                yield work(part, words, scores, often)
 
-    def work(part: pa.RecordBatch) -> pa.RecordBatch:
+    def work(part: pa.RecordBatch, words: Vocabulary, scores: Singles,
+             often: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
         ids, c = part.column(0).to_numpy(), cut(part.column(1).to_pylist())
-        docs, scores = len(ids), Singles(**singles.value)
-        number, have = Vocabulary(**known.value).find(c.words)
+        docs = len(ids)
+        number, have = words.find(c.words)
         single = scores.words[number]
         single[~have] = rest + Model(**spelling.value).word_scores(
             [c.words[k] for k in np.flatnonzero(~have)])
         number, have = np.concatenate(([BEGIN], number)), np.concatenate(([True], have))
-        here = ~(have[c.before] & have[c.word])
-        each = scores.contexts[number[c.before[here]]] + single[c.word[here] - 1]
-        value = np.bincount(c.document[here], c.n[here] * each, docs)
-        gain = c.past + np.bincount(c.document[here], told_apart(each, c.n[here]), docs)
+        pairs = pair_names(number[c.before], number[c.word])
+        order = np.argsort(pairs)
+        pairs, document, before, word, n = [
+            values[order] for values in (pairs, c.document, c.before, c.word, c.n)]
+        both = have[before] & have[word]
+        frequent, each = _look_up(often, pairs)
+        frequent &= both
+        here = frequent | ~both
+        each = np.where(frequent, each, scores.contexts[number[before]] + single[word - 1])[here]
+        value = np.bincount(document[here], n[here] * each, docs)
+        gain = c.past + np.bincount(document[here], told_apart(each, n[here]), docs)
         home = np.concatenate((c.n_words, c.size, value, gain)).astype(np.float64)
         home = ids.astype(np.int64).tobytes() + home.tobytes()
         name = int.from_bytes(hashlib.blake2b(home, digest_size=8).digest(), "little", signed=True)
-        document, n = c.document[~here], c.n[~here]
-        pairs = pair_names(number[c.before[~here]], number[c.word[~here]])
+        document, pairs, n = document[~here], pairs[~here], n[~here]
         shard = shard_of(pairs, shards)
         order = np.argsort(shard, kind="stable")
         ends = np.searchsorted(shard[order], np.arange(shards), "right")
@@ -619,8 +697,8 @@ def sought(texts: DataFrame, model: WordModel, shards: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(
             [pa.array(np.full(len(to), name)), pa.array(to, pa.int64()),
              pa.array(np.full(len(to), docs)), pa.array([len(at[k]) for k in to], pa.int64()),
-             *[pa.array([packed(values[at[k]]) for k in to], pa.binary())
-               for values in (document, pairs, n)],
+             *[pa.array([pack(values[at[k]]) for k in to], pa.binary())
+               for values, pack in ((document, packed), (pairs, packed_pairs), (n, packed))],
              pa.array([home if k == name % shards else None for k in to], pa.binary())],
             names=["slice", "shard", "docs", "rows", "document", "pairs", "n", "home"])
 
@@ -633,9 +711,9 @@ def looked_up(model: WordModel, texts: DataFrame, shards: int) -> DataFrame:
     singles = model.singles
 
     def run(counted: pa.Table, asked: pa.Table) -> pa.Table:
-        scores, none = Singles(**singles.value), np.zeros(0, np.int64)
+        scores, none = Singles.received(singles, seen=True), np.zeros(0, np.int64)
         parts = counted.select(["rows", "pairs", "n"]).to_pylist()
-        pairs = np.concatenate([none, *[unpacked(r["pairs"], r["rows"]) for r in parts]])
+        pairs = np.concatenate([none, *[unpacked_pairs(r["pairs"], r["rows"]) for r in parts]])
         n = np.concatenate([none, *[unpacked(r["n"], r["rows"]) for r in parts]])
         del parts
         order = np.argsort(pairs)
@@ -644,7 +722,8 @@ def looked_up(model: WordModel, texts: DataFrame, shards: int) -> DataFrame:
         sums = []
         for docs, rows, document, pairs, n in zip(*[
                 asked.column(c) for c in ("docs", "rows", "document", "pairs", "n")]):
-            document, pairs, n = [unpacked(c.as_py(), rows.as_py()) for c in (document, pairs, n)]
+            document, pairs, n = [unpack(c.as_py(), rows.as_py()) for c, unpack in (
+                (document, unpacked), (pairs, unpacked_pairs), (n, unpacked))]
             each = scores.back_off(pairs)
             known, value = _look_up(model_, pairs)
             each[known] = value[known]

@@ -1,7 +1,12 @@
+import glob
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 from claimspan.llm import quality as q
+from claimspan.llm.common import LEAN, stored, stored_lean
 
 SF = "/root/testdata/sf0.01"
 
@@ -157,3 +162,58 @@ def test_pairs_in_many_shards_and_slices(spark, monkeypatch):
     assert whole[0] == parts[0] == [6, 18, 0, 3, 3, 0]
     for one, other in zip(whole[1] + whole[2], parts[1] + parts[2]):
         assert one is other is None or abs(one / other - 1) < 1e-9
+
+
+def test_frequent_pairs_are_not_shuffled(spark, monkeypatch):
+    """And score as the shards do, whichever pairs are frequent."""
+    texts = ["red dogs bark at blue cats", "blue cats run from red dogs " * 3, "", "red dogs run"]
+    frame = spark.createDataFrame([(i, bytearray(t.encode())) for i, t in enumerate(texts)],
+                                  "id long, text binary")
+    probe = [*(t.encode() for t in texts), b"zebra red dogs bark bark", None]
+    rows, scores = [], []
+    for most in (0, 3, 1 << 20):
+        monkeypatch.setattr(q, "COMMON", most)
+        model = q.fit_words(frame.select("text"), 3)
+        rows.append(q.sought(frame, model, 2).agg({"rows": "sum"}).first()[0])
+        scores.append([c.to_pylist() for c in q.perplexities(probe, model)])
+    # Of 6, 7 and 3 different pairs, of which three come most often: blue cats, red dogs, cats run.
+    assert rows[0] == 16 > rows[1] > rows[2] == 0
+    for other in scores[1:]:
+        assert other[0] == scores[0][0]
+        for one, two in zip(scores[0][1] + scores[0][2], other[1] + other[2]):
+            assert one is two is None or abs(one / two - 1) < 1e-9
+
+
+def test_packed_pairs_come_back():
+    random = np.random.default_rng(1)
+    for size in (0, 1, 2, 1000):
+        before = random.integers(0, 9, size) * random.choice([1, q.VOCABULARY], size)
+        pairs = np.sort(q.pair_names(before, random.integers(1, 2 * q.VOCABULARY, size)))
+        assert (q.unpacked_pairs(q.packed_pairs(pairs), size) == pairs).all()
+    values = random.standard_normal(1000).astype(np.float32)
+    assert (q.unpacked(q.packed(values), 1000, values.dtype.str) == values).all()
+    hashes = np.array([-(1 << 63), -5, 7, (1 << 63) - 1])
+    assert (np.cumsum(np.diff(hashes, prepend=0)) == hashes).all()
+
+
+def test_lean_tables_keep_no_shuffle_and_take_long_texts_in_small_batches(spark):
+    def shuffled():
+        folder = spark.conf.get("spark.local.dir", "/tmp")
+        return set(glob.glob(f"{folder}/blockmgr-*/*/shuffle_*"))
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], names=["size"])
+
+    settings = {key: spark.conf.get(key) for key in LEAN}
+    frame = spark.range(50).selectExpr("id", "repeat('x', 1 << 20) as text").coalesce(1)
+    found = {}
+    for write in (stored, stored_lean):
+        before = shuffled()
+        write(spark.range(100).groupBy((q.F.col("id") % 7).alias("k")).count(), "counted")
+        left = bool(shuffled() - before)
+        seen = write(frame.mapInArrow(sizes, "size long"), "sizes").agg({"size": "max"}).first()
+        found[write] = left, seen[0]
+    assert found[stored][0] and not found[stored_lean][0]
+    assert found[stored][1] > 32 << 20 > 12 << 20 > found[stored_lean][1]
+    assert {key: spark.conf.get(key) for key in LEAN} == settings
