@@ -357,7 +357,8 @@ def mixed(docs: DataFrame, labels: DataFrame, target: Mapping[str, float] = TARG
         return pd.Series(steps.walk(np.stack(posteriors) if len(posteriors) else
                                     np.zeros((0, len(names))))[0])
 
-    out = scored.withColumn("rate", rate("posteriors"))
+    # Else a filter on copies asks for it again, and each executor keeps workers for both.
+    out = scored.withColumn("rate", rate.asNondeterministic()("posteriors"))
     return out.withColumn("copies", F.floor(F.col("rate") + F.col("__u")).cast("long")).withColumn(
         "converged", F.lit(steps.gap <= GAP)).drop("__u")
 

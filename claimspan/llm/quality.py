@@ -52,7 +52,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimspan.llm.common import slices, stored_lean as stored
+from claimspan.llm.common import give_back, slices, stored_lean as stored
 
 ORDER = 5
 QUANTILE = 0.995
@@ -141,6 +141,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())],
                 names=["word", "n"])
+            del found
+            give_back()
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(
         F.sum("n").alias("n"))
@@ -321,7 +323,11 @@ def sent(context: SparkContext, **arrays: np.ndarray) -> Broadcast:
 
 
 def received(held: Broadcast, *names: str) -> list[np.ndarray]:
-    return [unpacked(*held.value[name]) for name in names]
+    """Arrays that were sent. A worker holds them once: unpacked, in the place of the packed."""
+    for name in names:
+        if not isinstance(held.value[name], np.ndarray):
+            held.value[name] = unpacked(*held.value[name])
+    return [held.value[name] for name in names]
 
 
 def numbered(words: list[list[bytes]]) -> tuple[dict[bytes, int], np.ndarray, np.ndarray]:
@@ -348,8 +354,10 @@ class Vocabulary:
 
     @classmethod
     def received(cls, held: Broadcast) -> Vocabulary:
-        steps, numbers = received(held, "steps", "numbers")
-        return cls(np.cumsum(steps), numbers)
+        if "hashes" not in held.value:
+            held.value["hashes"] = np.cumsum(*received(held, "steps"))
+            del held.value["steps"]
+        return cls(*received(held, "hashes", "numbers"))
 
     def find(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The words' numbers, and whether they have any; the others get the next number."""
@@ -460,6 +468,8 @@ def pair_counts(texts: DataFrame, known: Broadcast | None) -> DataFrame:
             else:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(first), pa.array(second), n], names=["before", "word", "n"])
+            del number, word, before, own, pairs, n, first, second
+            give_back()
 
     key = ["pair"] if known else ["before", "word"]
     return texts.mapInArrow(run, "".join(f"{k} long, " for k in key) + "n long").groupBy(
@@ -476,6 +486,7 @@ def spellings(words: DataFrame, known: Broadcast | None, model: Broadcast) -> Da
             scores = Model(**model.value).word_scores(spelling)
             yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.exp(scores))],
                                              names=["word", "spelled"])
+        give_back()
 
     return words.select("word").mapInArrow(run, "word long, spelled double")
 
@@ -607,14 +618,15 @@ def cut(texts: list[bytes | None]) -> Cut:
     counts = np.fromiter(map(len, words), np.int64, len(words))
     number, flat, before = numbered(words)
     symbols = np.concatenate(([0], np.fromiter(map(len, number), np.int64, len(number)) + 1))
-    document = np.repeat(np.arange(len(words)), counts)
-    names = len(number) + 1
+    del words  # of all that a slice is made to, the most
+    docs, names = len(texts), len(number) + 1
+    document = np.repeat(np.arange(docs), counts)
     context = document * names + before
     keys, n = np.unique(context * names + flat, return_counts=True)
     past = np.log(seen_before(context) + OWN_WEIGHT)
     return Cut(list(number), keys // (names * names), keys // names % names, keys % names, n,
-               counts, np.bincount(document, symbols[flat], len(words)),
-               np.bincount(document, past, len(words)))
+               counts, np.bincount(document, symbols[flat], docs),
+               np.bincount(document, past, docs))
 
 
 def shard_of(pairs: np.ndarray, shards: int) -> np.ndarray:
@@ -664,6 +676,7 @@ def sought(texts: DataFrame, model: WordModel, shards: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", SCORE_BYTES):
                 yield work(part, words, scores, often)
+                give_back()
 
     def work(part: pa.RecordBatch, words: Vocabulary, scores: Singles,
              often: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
@@ -719,6 +732,8 @@ def looked_up(model: WordModel, texts: DataFrame, shards: int) -> DataFrame:
         order = np.argsort(pairs)
         names = pairs[order]
         model_ = names, scores.seen(names, n[order])
+        del pairs, n, order
+        give_back()
         sums = []
         for docs, rows, document, pairs, n in zip(*[
                 asked.column(c) for c in ("docs", "rows", "document", "pairs", "n")]):

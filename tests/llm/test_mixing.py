@@ -96,3 +96,11 @@ def test_odd_rows(spark, make):
         assert [r.n_tokens for r in rows if r.doc_id == 1] == [0]
     assert m.mixed(docs.limit(0), some).collect() == []
     assert m.sampled(docs, some).columns[:3] == ["doc_id", "text", "lang"]
+
+
+def test_rates_are_worked_out_once(spark, make):
+    docs = make([(i, t * 5) for i, t in enumerate(["a b c ", "d e f ", "a c "] * 4)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)],
+                                   "doc_id long, quality int, toxic int")
+    plan = m.sampled(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

@@ -1,12 +1,13 @@
 import glob
 import math
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
 
 from claimspan.llm import quality as q
-from claimspan.llm.common import LEAN, stored, stored_lean
+from claimspan.llm.common import LEAN, give_back, stored, stored_lean
 
 SF = "/root/testdata/sf0.01"
 
@@ -218,3 +219,27 @@ def test_lean_tables_keep_no_shuffle_and_take_long_texts_in_small_batches(spark)
     assert found[stored][0] and not found[stored_lean][0]
     assert found[stored][1] > 32 << 20 > 12 << 20 > found[stored_lean][1]
     assert {key: spark.conf.get(key) for key in LEAN} == settings
+
+
+def test_a_worker_holds_what_was_sent_once():
+    hashes, numbers = np.array([-(1 << 63), -5, 7, (1 << 63) - 1]), np.arange(1, 5, dtype=np.int32)
+    value = {name: (q.packed(a), len(a), a.dtype.str) for name, a in (
+        ("steps", np.diff(hashes, prepend=0)), ("numbers", numbers))}
+    held = SimpleNamespace(value=value)
+    first, second = q.Vocabulary.received(held), q.Vocabulary.received(held)
+    assert (first.hashes == hashes).all() and (first.numbers == numbers).all()
+    assert second.hashes is first.hashes and second.numbers is first.numbers
+    assert all(isinstance(a, np.ndarray) for a in value.values()) and len(value) == 2
+
+
+def test_a_task_gives_back_what_it_freed():
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096
+
+    held = [np.ones(12_000) for _ in range(2_000)]
+    pins = held[::50]
+    del held
+    before = resident()
+    give_back()
+    assert before - resident() > 100 << 20 and len(pins) == 40
