@@ -11,8 +11,10 @@ done; each vector nearer than d_k was met with that probability.
 A kd-tree over projected vectors, fitted on a bounded sample (SAMPLE), deals all vectors to
 cells; cells of more than BLOCK rows are split further by hash, so no task holds an unbounded
 group. Every query first searches the cell it falls into; its k-th distance then bounds which
-other cells the test can't rule out, and these are searched, too. Inside a block a smaller
-kd-tree hands out buckets of vectors by projected distance until the test holds.
+other cells the test can't rule out, and these are searched, too. Inside a block the buckets of
+a smaller kd-tree that the test can't rule out are verified for many queries at once, by matrix
+products. How many vectors the test leaves depends on how much nearer than others the nearest are:
+on vectors without such contrast most of them, for each query.
 
 Every vector is indexed. Defined results: vectors that are null, empty, zero or hold null or
 non-finite components take no part; nor do rows without vec_id. Of several rows with one
@@ -42,6 +44,8 @@ SAMPLE_PER_CELL = 16
 CELL_ROWS = 4_096
 BLOCK = 8_192
 BUCKET = 64
+#: Queries that go through a block together: 8 bytes for each and each of its rows, a few times.
+TOGETHER = 128
 
 
 def chi_square(x: float, degrees: int) -> float:
@@ -136,43 +140,70 @@ def fit_cells(sample: np.ndarray, count: int) -> Cells:
     return Cells(np.array([x[0] for x in out]), np.array([x[1] for x in out]))
 
 
+def first_bound(scores: np.ndarray, k: int, length: float, longest: float) -> float:
+    """Squared distance of the k-th best score, to the scaled query."""
+    if len(scores) < k:
+        return math.inf
+    worst = 2 * longest ** 2 - 2 * longest * np.partition(scores, -k)[-k] / length
+    return max(worst, 0.0) * (1 + 1e-9) + 1e-12
+
+
 def search_block(ids: np.ndarray, x: np.ndarray, y: np.ndarray, queries: pd.DataFrame,
                  k: int, stop: float, longest: float) -> pd.DataFrame:
-    """The best of a block for each query (query_id, vector, projected, bound)."""
-    parts = leaves(y, BUCKET) if len(queries) else []
+    """The best of a block for each query (query_id, vector, projected, bound).
+
+    Queries with the same nearest bucket go through the buckets together, TOGETHER at once: matrix
+    products tell the projected distances and rough scores of all rows of the buckets that the
+    test leaves to any of them. Queries without a bound get one from their nearest buckets.
+    """
+    if not len(queries) or not len(ids):
+        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64),
+                             "score": np.zeros(0)})
+    parts = leaves(y, BUCKET)
     low = np.array([y[p].min(axis=0) for p in parts])
     high = np.array([y[p].max(axis=0) for p in parts])
+    asked = queries["query_id"].to_numpy(np.int64)
+    q = np.array(queries["vector"].tolist(), np.float64)
+    projected = np.array(queries["projected"].tolist(), np.float64)
+    bound, length = queries["bound"].to_numpy(np.float64).copy(), np.sqrt((q * q).sum(axis=1))
+
+    def far(p: np.ndarray) -> np.ndarray:
+        gap = np.maximum(low - p[:, None], 0) + np.maximum(p[:, None] - high, 0)
+        return (gap * gap).sum(axis=2)
+
+    nearest_part = np.zeros(len(asked), np.int64)
+    some = max(4, -(-(k + 1) // (BUCKET // 2)))
+    for begin in range(0, len(asked), TOGETHER):
+        away = far(projected[begin:begin + TOGETHER])
+        nearest_part[begin:begin + TOGETHER] = away.argmin(axis=1)
+        for i in begin + np.flatnonzero(np.isinf(bound[begin:begin + TOGETHER])):
+            rows = np.concatenate([parts[c] for c in np.argsort(
+                away[i - begin], kind="stable")[:some]])
+            bound[i] = first_bound(x[rows[ids[rows] != asked[i]]] @ q[i], k, length[i], longest)
+
     out = []
-    for query, q, p, bound in zip(queries["query_id"], queries["vector"],
-                                  queries["projected"], queries["bound"]):
-        q, p = np.asarray(q, np.float64), np.asarray(p)
-        gap = np.maximum(low - p, 0) + np.maximum(p - high, 0)
-        far = (gap * gap).sum(axis=1)
-        order = np.argsort(far, kind="stable")
-        best_score, best_id = np.zeros(0), np.zeros(0, np.int64)
-        length = math.sqrt((q * q).sum())
-        begin, count = 0, 4
-        while begin < len(order) and far[order[begin]] <= stop * bound:
-            some = order[begin:begin + count]
-            begin, count = begin + count, 4 * count
-            rows = np.concatenate([parts[i] for i in some[far[some] <= stop * bound]])
-            rows = rows[((y[rows] - p) ** 2).sum(axis=1) <= stop * bound]
-            rows = rows[ids[rows] != query]
-            # A matrix product sorts out what can't be among the best; the rest is summed row
-            # by row, which gives equal vectors equal scores.
-            rough = x[rows] @ q
-            if len(best_id) == k or len(rows) > k:
-                least = best_score[-1] if len(best_id) == k else np.partition(rough, -k)[-k]
-                rows = rows[rough >= least - 1e-9 * (abs(least) + longest * length)]
-            best_score = np.concatenate([best_score, (x[rows] * q).sum(axis=1)])
-            best_id = np.concatenate([best_id, ids[rows]])
-            top = np.lexsort((best_id, -best_score))[:k]
-            best_score, best_id = best_score[top], best_id[top]
-            if len(top) == k:
-                # Squared distance of the k-th best, to the scaled query.
-                worst = 2 * longest ** 2 - 2 * longest * best_score[-1] / length
-                bound = min(bound, max(worst, 0.0) * (1 + 1e-9) + 1e-12)
-        out.append((np.full(len(best_id), query), best_id, best_score))
+    order = np.argsort(nearest_part, kind="stable")
+    for begin in range(0, len(order), TOGETHER):
+        at = order[begin:begin + TOGETHER]
+        limit = (stop * bound[at])[:, None]
+        left = np.flatnonzero((far(projected[at]) <= limit).any(axis=0))
+        if not len(left):
+            continue
+        rows = np.concatenate([parts[c] for c in left])
+        p, points = projected[at], y[rows]
+        away = (p * p).sum(axis=1)[:, None] + (points * points).sum(axis=1) - 2 * (p @ points.T)
+        fits = (away <= limit + 1e-9 * longest ** 2) & (ids[rows] != asked[at][:, None])
+        # The rough scores sort out what can't be among the best; the rest is summed row by
+        # row, which gives equal vectors equal scores.
+        rough = np.where(fits, q[at] @ x[rows].T, -np.inf)
+        if len(rows) > k:
+            least = np.partition(rough, -k, axis=1)[:, -k]
+            fits &= rough >= (least - 1e-9 * (np.abs(least) + longest * length[at]))[:, None]
+        for i, kept in zip(at, fits):
+            found = rows[kept]
+            score, name = (x[found] * q[i]).sum(axis=1), ids[found]
+            top = np.lexsort((name, -score))[:k]
+            out.append((np.full(len(top), asked[i]), name[top], score[top]))
     joined = [np.concatenate(x) for x in zip(*out)] if out else [
         np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
     return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), joined)))
@@ -200,8 +231,7 @@ def _found(df: DataFrame, other: DataFrame, dim: int, k: int, stop: float,
     def run(points: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         x = np.array(points["vector"].tolist(), np.float64).reshape(-1, dim)
         y = np.array(points["projected"].tolist(), np.float64).reshape(len(points), -1)
-        return search_block(points["vec_id"].to_numpy(np.int64), x, y,
-                            queries if len(points) else queries.head(0), k, stop, longest)
+        return search_block(points["vec_id"].to_numpy(np.int64), x, y, queries, k, stop, longest)
 
     return df.groupBy("cell", "block").cogroup(other.groupBy("cell", "block")).applyInPandas(
         run, "query_id long, vec_id long, score double")

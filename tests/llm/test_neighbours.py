@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pandas as pd
 import pytest
 
 from claimspan.llm import neighbours as n
@@ -76,3 +79,28 @@ def test_odd_rows(spark, rows, want):
 def test_chi_square():
     assert abs(n.chi_square(2 * np.log(2), 2) - 0.5) < 1e-12
     assert abs(n.quantile(0.95, 8) - 15.507313) < 1e-5
+
+
+def test_queries_of_a_block_cost_little_more_together():
+    """A whole block of vectors without contrast; most of them must be verified."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(8192, 64))
+    x /= np.sqrt((x * x).sum(axis=1))[:, None]
+    ids, asked, longest = np.arange(len(x)) * 3, np.arange(0, 2048, 4), 1 + 1e-12
+    y = n.lengthened(x, longest) @ n.projection(64, n.DIMENSIONS)
+    p = n.scaled(x[asked], longest) @ n.projection(64, n.DIMENSIONS)
+    queries = pd.DataFrame({"query_id": ids[asked], "vector": list(x[asked]),
+                            "projected": list(p), "bound": np.inf})
+    begin = time.process_time()
+    got = n.search_block(ids, x, y, queries, 20, n.quantile(0.98, n.DIMENSIONS), longest)
+    spent = time.process_time() - begin
+    begin = time.process_time()
+    for _ in range(3):
+        rough = x[asked] @ x.T
+        np.partition(rough, -20, axis=1)
+    assert spent < 3 * (time.process_time() - begin)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    want = np.argsort(-score, axis=1)[:, :20] * 3
+    have = got.groupby("query_id")["vec_id"].agg(set)
+    assert sum(len(have[q] & set(w)) for q, w in zip(ids[asked], want)) >= 0.95 * want.size
