@@ -1,6 +1,7 @@
-"""What an append costs: batches read alone, key lookups by range and in one job."""
+"""What writes cost: batches read alone, key lookups by range and in one job, files one by one."""
 
 import pytest
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from claimspan.schemas import CLAIMS_WITH_DURATIONS
@@ -73,3 +74,25 @@ def test_an_append_looks_up_keys_in_one_job_for_all_segments(spark, claims_of, m
         with pytest.raises(ValueError, match=f"duplicate key claim_num, for example .*{n}"):
             jobs(10, n)
     assert read_stage(spark, path, CLAIMS_WITH_DURATIONS).count() == 5
+
+
+def test_months_are_written_file_by_file(spark, claims_of, monkeypatch):
+    """Rows that go to another of dozens of open files each take several times as long."""
+    setting, seen = "spark.sql.maxConcurrentOutputFileWriters", []
+    before, write = spark.conf.get(setting), DataFrameWriter.parquet
+
+    def spy(writer, *args, **options):
+        seen.append(spark.conf.get(setting))
+        return write(writer, *args, **options)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", spy)
+    days = F.expr("date_add(date '2020-01-01', int(claim_num * 37 % 900))")
+    claims = batch(claims_of, *range(120)).withColumn("decided_2_date", days).coalesce(1)
+    for layout, told in (("by_decided_month", "0"), ("by_open_interval", str(tables.OPEN_FILES))):
+        path = shared_path(spark, layout)
+        write_stage(claims, path, CLAIMS_WITH_DURATIONS, **{layout: True})
+        assert seen.pop() == told and not seen and spark.conf.get(setting) == before
+        stored = read_stage(spark, path, CLAIMS_WITH_DURATIONS)
+        parts = [c for c in stored.columns if c not in claims.columns]
+        assert stored.drop(*parts).exceptAll(claims).isEmpty() and stored.count() == 120
+        assert len(stored.inputFiles()) == stored.select(parts).distinct().count()
