@@ -1,11 +1,13 @@
 """What writes cost: batches read alone, key lookups by range and in one job, files one by one."""
 
+import threading
+
 import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from claimspan.schemas import CLAIMS_WITH_DURATIONS
-from claimspan.sources import key_digests, tables
+from claimspan.sources import key_digests, tables, versions
 from claimspan.sources.tables import append_stage, has_value, read_stage, write_stage
 from harness.registry import shared_path
 
@@ -96,3 +98,25 @@ def test_months_are_written_file_by_file(spark, claims_of, monkeypatch):
         parts = [c for c in stored.columns if c not in claims.columns]
         assert stored.drop(*parts).exceptAll(claims).isEmpty() and stored.count() == 120
         assert len(stored.inputFiles()) == stored.select(parts).distinct().count()
+
+
+def test_only_one_of_two_writers_makes_a_pointer(spark, tmp_path):
+    """Many races, as Hadoop looked for a file on a local disk before it made it."""
+    for n in range(40):
+        start, made = threading.Barrier(2), []
+
+        def make(i, name=f"{tmp_path}/{n}/pointer", start=start, made=made):
+            start.wait()
+            try:
+                versions._create(spark, name, f"writer {i}\n")
+                made.append(i)
+            except Exception:
+                pass
+
+        threads = [threading.Thread(target=make, args=(i,)) for i in range(2)]
+        for thread in threads:
+            thread.start()
+        for thread in threads:
+            thread.join()
+        assert len(made) == 1
+        assert (tmp_path / str(n) / "pointer").read_text() == f"writer {made[0]}\n"
